@@ -1,23 +1,60 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline: quality rules, MinHash near-dedup, secret scans, packing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import small_side, stash, table
 from .near_dedup import near_duplicates
+from .packing import pack
+from .quality import quality_verdicts
+from .secrets import redact, secret_spans
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of a side that may be broadcast.
+SMALL_ROWS = 300_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs but for those whose doc_id is in dropped (doc_id null-safe); dropped is a written table."""
+    dropped = small_side(dropped, SMALL_ROWS)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base limits or the trees reject go. Rows that share a doc_id stay if any of them is kept."""
+    verdicts = quality_verdicts(docs, table(spark, sf_dir, "labels"))
+    dropped = verdicts.groupBy(F.col("doc_id").alias("dropped_id")).agg(F.max("kept").alias("kept")).where("not kept").select("dropped_id")
+    return without(docs, stash(dropped, "rejected")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    """Of each group of near-duplicates the document with the smallest doc_id stays, once if its row is repeated."""
+    groups = stash(near_duplicates(docs), "groups")
+    dropped = groups.groupBy(F.col("doc_id").alias("dropped_id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    left = without(docs, stash(dropped.where("not kept").select("dropped_id"), "duplicates")).select(*COLUMNS)
+    repeated = stash(dropped.where("kept and n > 1").select("dropped_id"), "repeated")
+    if not repeated.limit(1).count():
+        return left
+    again = left.join(small_side(repeated, SMALL_ROWS), left["doc_id"].eqNullSafe(repeated["dropped_id"]), "left_semi")
+    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64("lang", "source", "n_chars"))
+    return without(left, repeated).union(again.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(*COLUMNS))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text, n_chars follows; documents themselves all stay."""
+    found = stash(secret_spans(docs).where(F.size("spans") > 0), "secrets")
+    plain = docs.select(*COLUMNS)
+    return redact(plain, found).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document that is left, with its place in a sequence."""
+    return pack(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("packing", packing)]
 #: Tree training and the tokenizer can't be said in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
