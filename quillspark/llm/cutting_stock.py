@@ -28,25 +28,46 @@ def _price(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, n
     return float(best[capacity]), pattern
 
 
-def relax(size: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> tuple[list[np.ndarray], np.ndarray]:
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination without BLAS, whose threads would wait for busy cores."""
+    n = len(m)
+    a = np.concatenate([m, np.eye(n)], 1)
+    for k in range(n):
+        top = k + int(np.argmax(np.abs(a[k:, k])))
+        a[[k, top]] = a[[top, k]]
+        a[k] /= a[k, k]
+        column = a[:, k].copy()
+        column[k] = 0
+        rows = np.flatnonzero(column)
+        a[rows] -= np.outer(column[rows], a[k])
+    return a[:, n:].copy()
+
+
+def relax(size: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000, patience: int = 150) -> tuple[list[np.ndarray], np.ndarray]:
     """Patterns and how often the linear program uses each (fractions), by the revised simplex method.
 
     Columns are made as they are needed: the duals price classes, the knapsack finds the pattern of the highest price,
-    and it enters the basis while that price is above one sequence. rounds only bounds the work; any basis covers the
-    demand.
+    and it enters the basis while that price is above one sequence. Degenerate demands end when patience rounds in a
+    row save nothing; rounds bounds the work. Any basis covers the demand.
     """
     m = len(size)
     patterns = [np.eye(m, dtype=np.int64)[i] * int(capacity // size[i]) for i in range(m)]
     inverse = np.diag([1.0 / p[i] for i, p in enumerate(patterns)])
-    x = inverse @ demand
+    times = lambda v: (inverse * v).sum(1)
+    x = times(demand)
+    best, since = x.sum(), 0
     for step in range(rounds):
-        if step % 200 == 199:  # rounding errors don't add up
-            inverse = np.linalg.inv(np.stack(patterns, 1).astype(float))
-            x = np.maximum(inverse @ demand, 0)
+        if step % 500 == 499:  # rounding errors don't add up
+            inverse = _inverse(np.stack(patterns, 1).astype(float))
+            x = np.maximum(times(demand), 0)
+        since = since + 1 if x.sum() > best * (1 - 1e-7) else 0
+        best = min(best, x.sum())
+        if since > patience:
+            break
         price, column = _price(np.maximum(inverse.sum(0), 0), size, capacity)
         if price <= 1 + 1e-7:
             break
-        way = inverse @ column
+        way = times(column)
         ratio = np.where(way > 1e-9, x / np.where(way > 1e-9, way, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
