@@ -13,7 +13,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Words that a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: Characters whose case and class are the same in all of the libraries; other texts take the library's own way.
 _COMMON = [c for c in (*range(0x180), *range(0x2010, 0x2028), 0x20AC) if c not in range(0x1C, 0x20)]
 #: End of a word; no UTF-8 text has this byte.
