@@ -67,20 +67,15 @@ CONDITIONS = {
 ABBREVIATIONS = FREQUENCY | FORMS | ROUTES | CONDITIONS
 
 
-def _form(name: str):
-    @F.pandas_udf("string")
-    def convert(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize(name, t))
-
-    return convert
-
-
-_NFKC, _NFC = _form("NFKC"), _form("NFC")
+def _composed(text: Column, form: str, ascii_only: bool) -> Column:
+    """text in a normal form; ASCII is its own. ascii_only promises ASCII and keeps Python out of the plan."""
+    if ascii_only:
+        return text
 
+    def convert(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
-def _composed(text: Column, udf, ascii_only: bool) -> Column:
-    """text in a normal form; ASCII is its own. ascii_only promises ASCII and keeps Python out of the plan."""
-    return text if ascii_only else F.when(text.rlike(r"[^\x00-\x7F]"), udf(text)).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.pandas_udf(convert, "string", F.PandasUDFType.SCALAR)(text)).otherwise(text)
 
 
 def collapse(text: Column) -> Column:
@@ -94,18 +89,18 @@ def _present(value: Column) -> Column:
 
 def normalize_text(value: Column, ascii_only: bool = False) -> Column:
     """Lower case; letters, digits and % . / + space - only; single spaces. Null and "nan" are empty."""
-    text = F.lower(collapse(F.regexp_replace(_composed(_present(value), _NFKC, ascii_only), " ", " ")))
+    text = F.lower(collapse(F.regexp_replace(_composed(_present(value), "NFKC", ascii_only), " ", " ")))
     return collapse(F.regexp_replace(text, r"[^a-z0-9%./+ -]+", ""))
 
 
 def display_text(value: Column, ascii_only: bool = False) -> Column:
-    return collapse(_composed(_present(value), _NFKC, ascii_only))
+    return collapse(_composed(_present(value), "NFKC", ascii_only))
 
 
 def lexical_surface(value: Column, ascii_only: bool = False) -> Column:
     """Lower case with plain dashes and single spaces; null stays null."""
     dashes = "‐‑‒–—−"
-    return F.lower(collapse(F.translate(_composed(value, _NFKC, ascii_only), dashes, "-" * len(dashes))))
+    return F.lower(collapse(F.translate(_composed(value, "NFKC", ascii_only), dashes, "-" * len(dashes))))
 
 
 def tokens(value: Column, ascii_only: bool = False) -> Column:
@@ -122,7 +117,7 @@ def query_surface(value: Column, ascii_only: bool = False) -> Column:
 
 def comparison_text(value: Column, ascii_only: bool = False) -> Column:
     """Lower case without code fences; dates with dashes; single spaces."""
-    text = F.regexp_replace(_composed(F.coalesce(value, F.lit("")), _NFC, ascii_only), r"```[a-zA-Z]*", "")
+    text = F.regexp_replace(_composed(F.coalesce(value, F.lit("")), "NFC", ascii_only), r"```[a-zA-Z]*", "")
     text = F.lower(F.regexp_replace(text, "`", ""))
     return collapse(F.regexp_replace(text, r"(\d+)[./](\d+)[./](\d+)", "$1-$2-$3"))
 

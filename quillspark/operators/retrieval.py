@@ -51,7 +51,7 @@ def _holds(big: DataFrame, small: DataFrame) -> DataFrame:
     Big texts are posted under their three-character pieces and single characters; a small text asks with the rarest
     of its own pieces only, and what comes back is compared.
     """
-    pieces = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
+    pieces = lambda t: F.regexp_extract_all(t, F.lit("(?s)(?=(.{3}))"), F.lit(1))
     posted = big.select("big_id", "big", F.explode(F.array_distinct(F.concat(pieces(F.col("big")), F.split("big", "")))).alias("piece"))
     asks = small.select("small_id", "small", F.explode(F.array_distinct(F.when(F.length("small") >= 3, pieces(F.col("small"))).otherwise(F.array(F.substring("small", 1, 1))))).alias("piece"))
     held = posted.join(asks.select("piece").distinct(), "piece", "left_semi").groupBy("piece").count()

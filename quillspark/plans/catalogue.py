@@ -1,10 +1,6 @@
-"""Registered queries over the driver's tables and the SQL that must give the same rows."""
+"""All registered queries over the driver's tables and the SQL that must give the same rows."""
 
-from __future__ import annotations
+from . import decision_queries, report_queries, retrieval_queries, stream_queries, text_queries
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "decision_queries", "report_queries", "retrieval_queries", "stream_queries", "text_queries"]
