@@ -76,3 +76,16 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?"
+#: Every rule against every url, without an index.
+ORACLE_SQL["op4_url_filter"] = f"""
+with u as (select page_id, coalesce(url, '') as url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from pages),
+r(rule, suffix, prefix, verdict) as (values ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+p(verdict, pattern) as (values ('block', '{_HOST}ads-track\\.'), ('block', '{_HOST}adult-x\\.'), ('block', '{_HOST}casino\\.'), ('block', '/login(?:[^a-z0-9_.%-]|$)'), ('block', '/cart(?:[^a-z0-9_.%-]|$)'), ('block', '/track/.*/click(?:[^a-z0-9_.%-]|$)'), ('allow', '{_HOST}adult-education\\.')),
+f as (select *, row_number() over (partition by url order by length(rule) desc, length(suffix) desc) as n from (select distinct url, rule, suffix, verdict from u join r on (host = suffix or ends_with(host, '.' || suffix)) and starts_with(path, prefix))),
+m as (select url, min(p.verdict) as verdict from u join p on regexp_matches(low, pattern) group by url)
+select page_id, host, path, f.rule, coalesce(f.verdict, m.verdict, 'allow') as verdict from u left join f on f.url = u.url and n = 1 left join m on m.url = u.url
+"""
