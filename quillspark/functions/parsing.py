@@ -64,7 +64,8 @@ def composition(value: Column, ascii_only: bool = False) -> Column:
     def parse(piece: Column) -> Column:
         shape = r"^(.*?)(?:\s*\(([^()]*)\))?\s*$"
         name, strength = F.trim(F.regexp_extract(piece, shape, 1)), F.trim(F.regexp_extract(piece, shape, 2))
-        return F.struct(name.alias("name"), normalize_text(name, ascii_only).alias("ingredient"), strength.alias("strength_text"), normalize_strength(strength, ascii_only).alias("strength"))
+        # The whole text is in its normal form already, and a lambda can't call Python.
+        return F.struct(name.alias("name"), normalize_text(name, True).alias("ingredient"), strength.alias("strength_text"), normalize_strength(strength, True).alias("strength"))
 
     return F.filter(F.transform(pieces, parse), lambda c: c["name"] != "")
 
