@@ -16,9 +16,9 @@ from .near_dedup import _starts, runs
 #: Rows that the codebooks are fitted on at most: those with the smallest hash of vec_id.
 FIT_ROWS = 16_384
 #: Codebooks, codewords of each, and partial codes that the beam keeps.
-BOOKS, WORDS, BEAM = 8, 256, 4
+BOOKS, WORDS, BEAM = 12, 256, 4
 #: Rows and queries of a block, and rows of a block that are ranked exactly for each query.
-ROW_BLOCK, QUERY_BLOCK, RERANK = 4096, 2048, 160
+ROW_BLOCK, QUERY_BLOCK, RERANK = 4096, 2048, 256
 
 
 @dataclass
