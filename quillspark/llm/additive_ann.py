@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stash
+from .common import bounded_sample, ship, stash
 from .near_dedup import _starts, runs
 
 #: Rows that the codebooks are fitted on at most: those with the smallest hash of vec_id.
@@ -151,7 +151,7 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 10, column: str = "
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size, total = sizes["size"], sizes["count"]
     rows = rows.where(F.size("vector") == size)
-    sample = rows.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(fit_rows).select("vector").collect()
+    sample = bounded_sample(rows.select("vec_id", "vector"), "vec_id", fit_rows, total).select("vector").collect()
     model = fit(np.array([r["vector"] for r in sample], np.float64))
 
     coded = rows.select("vec_id", "vector").mapInArrow(_encode(model, size), "vec_id long, vector array<double>, codes binary, norm double")

@@ -26,7 +26,7 @@ def work_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -42,6 +42,24 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what stash wrote for df, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_sample(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
+    """At most n of df's rows (there are `rows`): those with the smallest hashes of a key.
+
+    A threshold on the hash leaves about a fifth more than n, so that tasks send the driver only that.
+    """
+    share = min(1.0, (1.2 * n + 100) / max(rows, 1))
+    near = df if share >= 1 else df.where(F.shiftrightunsigned(F.xxhash64(key), 11) < int(share * 2**53))
+    return near.orderBy(F.xxhash64(key), *df.columns).limit(n)
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """df, marked for broadcast only if a count shows that it has at most max_rows rows; else Spark shuffles it.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stash
+from .common import bounded_sample, ship, stash
 from .kernels import _PLACE, U, doc_words, mix, text_bytes
 from .trees import Trees, fit
 
@@ -80,7 +80,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 def train(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
     """Trees for quality = 1, from at most fit_rows labelled documents. Null labels and ids don't count."""
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
-    sample = stats.join(labelled, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows).select("quality", *FEATURES).toPandas()
+    sample = bounded_sample(stats.join(labelled, "doc_id").select("doc_id", "quality", *FEATURES), "doc_id", fit_rows, labelled.count()).toPandas()
     return fit(sample[list(FEATURES)].to_numpy(np.float64), sample["quality"].to_numpy(np.float64), np.array(list(FEATURES.values())))
 
 
