@@ -59,7 +59,7 @@ def normalize_strength(value: Column, ascii_only: bool = False) -> Column:
 
 def composition(value: Column, ascii_only: bool = False) -> Column:
     """Components "name (strength)" between " + " or ";" as array<struct<name, ingredient, strength_text, strength>>."""
-    pieces = F.filter(F.transform(F.split(display_text(value, ascii_only), r"\s+\+\s+|;\s*"), F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(display_text(value, ascii_only), r"\s+\+\s+|;\s*"), lambda p: F.trim(p)), lambda p: p != "")
 
     def parse(piece: Column) -> Column:
         shape = r"^(.*?)(?:\s*\(([^()]*)\))?\s*$"

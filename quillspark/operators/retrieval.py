@@ -52,11 +52,16 @@ def _holds(big: DataFrame, small: DataFrame) -> DataFrame:
     of its own pieces only, and what comes back is compared.
     """
     pieces = lambda t: F.regexp_extract_all(t, F.lit("(?s)(?=(.{3}))"), F.lit(1))
-    posted = big.select("big_id", "big", F.explode(F.array_distinct(F.concat(pieces(F.col("big")), F.split("big", "")))).alias("piece"))
-    asks = small.select("small_id", "small", F.explode(F.array_distinct(F.when(F.length("small") >= 3, pieces(F.col("small"))).otherwise(F.array(F.substring("small", 1, 1))))).alias("piece"))
+    # One row each: texts longer than every big one, or shorter than every small one, can't take part.
+    small = small.join(F.broadcast(big.agg(F.max(F.length("big")).alias("longest"))), F.length("small") <= F.col("longest"))
+    big = big.join(F.broadcast(small.agg(F.min(F.length("small")).alias("shortest"))), F.length("big") >= F.col("shortest"))
+    posted = big.select("big_id", F.explode(F.array_distinct(F.concat(pieces(F.col("big")), F.split("big", "")))).alias("piece"))
+    asks = small.select("small_id", F.explode(F.array_distinct(F.when(F.length("small") >= 3, pieces(F.col("small"))).otherwise(F.array(F.substring("small", 1, 1))))).alias("piece"))
     held = posted.join(asks.select("piece").distinct(), "piece", "left_semi").groupBy("piece").count()
-    rarest = asks.join(held, "piece", "left").groupBy("small_id", "small").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "piece")).alias("r")).select("small_id", "small", F.col("r.piece").alias("piece"))
-    return posted.join(rarest, "piece").where(F.col("big").contains(F.col("small"))).select("big_id", "small_id")
+    rarest = asks.join(held, "piece", "left").groupBy("small_id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "piece")).alias("r")).select("small_id", F.col("r.piece").alias("piece"))
+    # Postings are ids and pieces; texts come back for what is left.
+    pairs = posted.join(rarest, "piece").select("big_id", "small_id")
+    return pairs.join(big.select("big_id", "big"), "big_id").join(small.select("small_id", "small"), "small_id").where(F.col("big").contains(F.col("small"))).select("big_id", "small_id")
 
 
 def contained(mentions: DataFrame, catalog: DataFrame, limit: int = 75, ascii_only: bool = False) -> DataFrame:

@@ -146,3 +146,26 @@ def test_incremental_runs(spark):
     first = intake.changed(rows, empty, "id")
     assert first.count() == 2 and intake.changed(rows, first.select("id", "row_hash"), "id").count() == 0
     assert [r["id"] for r in intake.changed(spark.createDataFrame([(1, "a"), (2, "c")], "id int, v string"), first.select("id", "row_hash"), "id").collect()] == [2]
+
+
+def test_assembly(spark, tmp_path):
+    from quillspark.operators import assembly
+
+    wide = spark.createDataFrame([(2, "b", "late"), (1, "b", "early"), (3, "", "x"), (4, None, "y")], "seq int, k string, v string")
+    parts = assembly.star(wide, "seq", {"k": (F.col("k"), ["v"])})
+    assert [tuple(r) for r in parts["k"].collect()] == [("b", "early")] and parts["fact"].count() == 4
+    pool = assembly.text_pool(spark.createDataFrame([(1, "a", ["b", " "], None)], "id int, x string, y array<string>, z string"), "id", ["x", "y", "z"])
+    assert sorted(r["text"] for r in pool.collect()) == ["a", "b"]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a").write_text("1")
+    before = [tuple(r) for r in assembly.manifest(spark, str(tmp_path / "m")).collect()]
+    (tmp_path / "m/a").write_text("2")
+    (tmp_path / "m/b").write_text("3")
+    after = assembly.manifest(spark, str(tmp_path / "m"))
+    old = spark.createDataFrame(before, "path string, length long, sha256 string")
+    assert sorted(r["change"] for r in assembly.changed_files(old, after).collect()) == ["added", "changed"]
+    runs = assembly.engine_runs(spark.createDataFrame([(1, "ab")], "document long, body string"), {"up": str.upper, "bad": lambda t: 1 / 0}).collect()
+    assert {(r["engine"], r["text"], r["error"]) for r in runs} == {("up", "AB", None), ("bad", None, "division by zero")}
+    box = spark.createDataFrame([(50.0, 300.0)], "x0 double, y0 double").select(*assembly.fractions(["x0", "y0"], F.lit(100.0), F.lit(200.0))).first()
+    assert tuple(box) == (0.5, 1.0)
+    assert [r["path"] for r in assembly.missing_outputs(spark, ["a", "b"], spark.createDataFrame([("a",)], "path string")).collect()] == ["b"]
