@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,20 +16,50 @@ from .common import ship, small_side, stash
 from .components import components
 from .kernels import MinHash, U, doc_words, forest, mix, shingles
 
-#: Length of a signature; coordinates that are posted; matching coordinates of 128 that a candidate pair needs.
-COORDINATES, POSTED, MATCHES = 128, 8, 88
-#: The first coordinates that a long posting list merges before the others, and the matches it needs among them.
-PREFIX, PREFIX_MATCHES = 32, 13
+#: Length of a signature, and its first coordinates that a long posting list merges before the others.
+COORDINATES, PREFIX = 128, 32
+#: Probabilities, at most, that a pair just at the threshold shares no posted coordinate, has too few matches, and too few in the prefix.
+NO_POST, FEW_MATCHES, FEW_IN_PREFIX = 3e-7, 1.1e-6, 2e-9
 #: Members of a posting list or cluster, and shingles of a cluster, that one block holds; larger ones are cut into blocks.
 LIST_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 1024, 512, 1_000_000
 #: Rows of a side that may be broadcast.
 SMALL_ROWS = 300_000
 
 
-def _sign(words: int) -> Callable:
+@dataclass(frozen=True)
+class Layout:
+    """What a candidate pair of similarity percent / 100 needs: posted coordinates, matches of 128 and of the prefix."""
+
+    percent: int
+    posted: int
+    matches: int
+    prefix_matches: int
+
+    @classmethod
+    def of(cls, percent: int) -> Layout:
+        """As few posts and as many matches as the probabilities allow: 8, 88, 13 for 85 and 10, 79, 10 for 80."""
+        p = percent / 100
+
+        def most(n: int, lost: float) -> int:
+            below = 0.0  # probability of fewer than k matches among n
+            for k in range(n):
+                below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+                if below > lost:
+                    return k
+            return n
+
+        posted = next((k for k in range(1, COORDINATES) if (1 - p) ** k <= NO_POST), COORDINATES)
+        return cls(percent, posted, most(COORDINATES, FEW_MATCHES), most(PREFIX, FEW_IN_PREFIX))
+
+    def sizes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sets of these sizes can be that similar."""
+        return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+
+
+def _sign(words: int, posted: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(COORDINATES)
-        salt = np.arange(POSTED, dtype=U) * U(0x9E3779B97F4A7C15)
+        salt = np.arange(posted, dtype=U) * U(0x9E3779B97F4A7C15)
         for batch in batches:
             count, digest, sig, posts = [], [], [], []
             for h in doc_words(batch.column(1), lower=True):
@@ -39,7 +71,7 @@ def _sign(words: int) -> Callable:
                 m = hashes(s)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sig.append((mix(m) >> U(56)).astype(np.uint8).tobytes())
-                posts.append(mix(m[:POSTED] + salt).view(np.int64))
+                posts.append(mix(m[:posted] + salt).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(posts, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "digest", "sig", "posts"],
@@ -90,48 +122,51 @@ def _starts(columns: list[np.ndarray]) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def _matching(sig: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _matching(sig: np.ndarray, size: np.ndarray, need: Layout) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one long list with enough matches: the prefix is merged first, the rest only where it suffices."""
     a, b = [], []
     for i in range(0, len(sig), 64):
         part = sig[i : i + 64]
         j0 = i
-        near = (part[:, None, :PREFIX] == sig[None, j0:, :PREFIX]).sum(2, dtype=np.uint8) >= PREFIX_MATCHES
-        near &= 100 * np.minimum(size[i : i + 64, None], size[None, j0:]) >= 85 * np.maximum(size[i : i + 64, None], size[None, j0:])
+        near = (part[:, None, :PREFIX] == sig[None, j0:, :PREFIX]).sum(2, dtype=np.uint8) >= need.prefix_matches
+        near &= need.sizes(size[i : i + 64, None], size[None, j0:])
         x, y = np.nonzero(near)
         keep = x < y  # each pair once
         x, y = x[keep], y[keep]
-        ok = np.concatenate([(part[x[k : k + 4096]] == sig[y[k : k + 4096] + j0]).sum(1) >= MATCHES for k in range(0, len(x), 4096)] or [np.zeros(0, bool)])
+        ok = np.concatenate([(part[x[k : k + 4096]] == sig[y[k : k + 4096] + j0]).sum(1) >= need.matches for k in range(0, len(x), 4096)] or [np.zeros(0, bool)])
         a.append(x[ok] + i), b.append(y[ok] + j0)
     return np.concatenate(a), np.concatenate(b)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted postings (post, x, y, digest, sig, n_shingles) to a spanning forest of each list's candidate links."""
-    for rows in runs(batches, 3):
-        post, x, y, size = (rows.column(k).to_numpy() for k in (0, 1, 2, 5))
-        sig = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        at = _starts([post, x, y])
-        length = np.diff(at)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in np.flatnonzero(length > 32):
-            p, q = _matching(sig[at[k] : at[k + 1]], size[at[k] : at[k + 1]])
-            a.append(p + at[k]), b.append(q + at[k])
-        run = np.repeat(np.arange(len(length)), length)
-        short = np.flatnonzero((length <= 32) & (length > 1))
-        mine = np.flatnonzero(np.isin(run, short)) if len(short) else np.zeros(0, np.int64)
-        for d in range(1, int(length[short].max()) if len(short) else 0):
-            p = mine[mine + d < len(run)]
-            p = p[run[p] == run[p + d]]
-            p = p[100 * np.minimum(size[p], size[p + d]) >= 85 * np.maximum(size[p], size[p + d])]
-            for k in range(0, len(p), 8192):
-                c = p[k : k + 8192]
-                c = c[(sig[c] == sig[c + d]).sum(1) >= MATCHES]
-                a.append(c), b.append(c + d)
-        root = forest(len(run), np.concatenate(a), np.concatenate(b))
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        digest = rows.column(3).combine_chunks()
-        yield pa.RecordBatch.from_arrays([digest.take(pa.array(root[linked])), digest.take(pa.array(linked))], names=["a", "b"])
+def _merge(need: Layout) -> Callable:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted postings (post, x, y, digest, sig, n_shingles) to a spanning forest of each list's candidate links."""
+        for rows in runs(batches, 3):
+            post, x, y, size = (rows.column(k).to_numpy() for k in (0, 1, 2, 5))
+            sig = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            at = _starts([post, x, y])
+            length = np.diff(at)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in np.flatnonzero(length > 32):
+                p, q = _matching(sig[at[k] : at[k + 1]], size[at[k] : at[k + 1]], need)
+                a.append(p + at[k]), b.append(q + at[k])
+            run = np.repeat(np.arange(len(length)), length)
+            short = np.flatnonzero((length <= 32) & (length > 1))
+            mine = np.flatnonzero(np.isin(run, short)) if len(short) else np.zeros(0, np.int64)
+            for d in range(1, int(length[short].max()) if len(short) else 0):
+                p = mine[mine + d < len(run)]
+                p = p[run[p] == run[p + d]]
+                p = p[need.sizes(size[p], size[p + d])]
+                for k in range(0, len(p), 8192):
+                    c = p[k : k + 8192]
+                    c = c[(sig[c] == sig[c + d]).sum(1) >= need.matches]
+                    a.append(c), b.append(c + d)
+            root = forest(len(run), np.concatenate(a), np.concatenate(b))
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            digest = rows.column(3).combine_chunks()
+            yield pa.RecordBatch.from_arrays([digest.take(pa.array(root[linked])), digest.take(pa.array(linked))], names=["a", "b"])
+
+    return merged
 
 
 def _confirmed(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,10 +238,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
 
     1. Each text is signed once: distinct shingles, a digest of the whole set, 128 minimum hashes. Rows with equal
        sets become one class, aggregated map-side.
-    2. Inverted join: a class is posted under its first 8 (coordinate, value) pairs; 0.85 similar texts share none of
-       them with probability 0.15^8. Lists longer than 1024 are cut into blocks and every pair of blocks is a task's
+    2. Inverted join: a class is posted under its first (coordinate, value) pairs, 8 for 85 and 10 for 80 percent;
+       texts just that similar share none of them with probability 0.15^8 and 0.2^10. Lists longer than 1024 are cut into blocks and every pair of blocks is a task's
        work, so that no list meets whole in one task. A list merges a prefix of 32 coordinates first, skips on, and
-       keeps pairs with 88 of 128 matches or more. It returns a spanning forest of them, never all pairs.
+       keeps pairs with 88 of 128 matches or more (79 for 80 percent). It returns a spanning forest of them, never all pairs.
     3. The forests' components are candidate clusters; the full sets of each cluster (again by pairs of blocks) are
        intersected exactly, and components of the confirmed links give the result.
 
@@ -216,8 +251,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     """
     spark = docs.sparkSession
     ship(spark)
+    need = Layout.of(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stash(docs.mapInArrow(_sign(words), "doc_id long, n_shingles long, digest binary, sig binary, posts array<long>"), "signed")
+    signed = stash(docs.mapInArrow(_sign(words, need.posted), "doc_id long, n_shingles long, digest binary, sig binary, posts array<long>"), "signed")
     classes = stash(
         signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("posts").alias("posts")), "classes"
     )
@@ -226,7 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     long = stash(classes.select(F.explode("posts").alias("post")).groupBy("post").count().where(F.col("count") > LIST_BLOCK).select("post", F.ceil(F.col("count") / LIST_BLOCK).cast("int").alias("n")), "long")
     posted = posted.join(small_side(long, SMALL_ROWS), "post", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     posted = _blocks(posted, "n", "digest").select("post", "x", "y", "digest", "sig", "n_shingles").repartition("post", "x", "y").sortWithinPartitions("post", "x", "y")
-    clusters = stash(components(posted.mapInArrow(_merge, "a binary, b binary")), "clusters")
+    clusters = stash(components(posted.mapInArrow(_merge(need), "a binary, b binary")), "clusters")
 
     member = clusters.join(classes.select(F.col("digest").alias("node"), "least", "n_shingles"), "node")
     sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("n"))

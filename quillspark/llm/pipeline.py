@@ -12,6 +12,8 @@ from .quality import quality_verdicts
 from .secrets import redact, secret_spans
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Jaccard similarity, in percent, from which the stage links documents; op5's own is 85.
+PERCENT = 80
 #: Rows of a side that may be broadcast.
 SMALL_ROWS = 300_000
 
@@ -30,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays, once if its row is repeated."""
-    groups = stash(near_duplicates(docs), "groups")
+    """Of each group of near-duplicates (0.8 or more) the document with the smallest doc_id stays, once if its row is repeated."""
+    groups = stash(near_duplicates(docs, percent=PERCENT), "groups")
     dropped = groups.groupBy(F.col("doc_id").alias("dropped_id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     left = without(docs, stash(dropped.where("not kept").select("dropped_id"), "duplicates")).select(*COLUMNS)
     repeated = stash(dropped.where("kept and n > 1").select("dropped_id"), "repeated")

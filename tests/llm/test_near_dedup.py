@@ -116,3 +116,24 @@ def test_words_and_shingles(odd_texts):
                 assert seen.setdefault((x, len(x) > 1 << 20), y) == y
     assert len(set(seen.values())) == len(seen)
     assert len(kernels.shingles(np.arange(3, dtype=np.uint64))) == 1 and not len(kernels.shingles(np.zeros(0, np.uint64)))
+
+
+def test_layout_by_percent():
+    assert [near_dedup.Layout.of(p) for p in (85, 80)] == [near_dedup.Layout(85, 8, 88, 13), near_dedup.Layout(80, 10, 79, 10)]
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_pipeline_links_from_080(spark, make, sf, n):
+    """100 shingles against 82 of them and nothing else (0.82; also by the size ratio); against 79 of them no link. n: copies with an own word each, for long lists."""
+    from quillspark.llm import pipeline
+
+    r = random.Random(6)
+    texts, dropped = [], set()
+    for k in range(12):
+        w = [f"u{r.randrange(10**9)}" for _ in range(104)]
+        for m in (104, 86) if k % 2 else (104, 83):
+            texts += [" ".join(w[:m] + [f"own{i}"] * (n > 1)) for i in range(n)]
+        at = len(texts) - 2 * n
+        dropped |= set(range(at + 1, at + n)) | set(range(at + n + (not k % 2), at + 2 * n))
+    left = {row["doc_id"] for row in pipeline.near_dedup(spark, make(texts), sf).collect()}
+    assert left == set(range(len(texts))) - dropped
