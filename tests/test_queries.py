@@ -44,3 +44,23 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A folder with tables of the given rows."""
+
+    def write(**tables):
+        path = str(tmp_path_factory.mktemp("sf"))
+        for name, (rows, schema) in tables.items():
+            spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+        return path
+
+    return write
+
+
+def test_containment_asks_with_whole_passages(spark, small):
+    opening, rest = "an opening that many texts share word for word and then some more", "the tail of it only this passage has"
+    docs = [(1, "the tail of it"), (2, f"{opening} the tail"), (3, f"{opening} another end"), (4, f"x {opening} {rest} y"), (5, opening[:30])]
+    sf = small(benchmark=([(0, f"{opening} {rest}")], "item_id long, text string"), documents=(docs, "doc_id long, text string"))
+    assert sorted(r["candidate_id"] for r in QUERIES["containment_join"](spark, sf).collect()) == [1, 2, 4, 5]
