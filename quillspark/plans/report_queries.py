@@ -186,9 +186,10 @@ def rollup_quantity(spark, sf):
 
 
 def _turns(spark, sf):
+    """All pieces of a conversation's first two turns, whole: the first turn's are truths, the second's findings."""
     c = table(spark, sf, "conversations")
     lines = c.where("turn < 2").select(F.col("conv_id").alias("doc"), F.when(F.col("turn") == 0, "truth").otherwise("found").alias("side"), F.posexplode(F.split("text", r"[.\n]+")).alias("position", "text"))
-    return lines.where("position < 12").select("doc", "side", F.col("position").cast("long").alias("position"), F.trim(F.substring("text", 1, 60)).alias("text"))
+    return lines.select("doc", "side", F.col("position").cast("long").alias("position"), F.trim("text").alias("text"))
 
 
 @query()

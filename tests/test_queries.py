@@ -1,9 +1,12 @@
 """Every registered query of the library runs, and agrees with its SQL on a second engine."""
 
+import random
+
 import duckdb
 import pandas as pd
 import pytest
 
+from quillspark.functions.similarity import partial_of, ratio_of
 from quillspark.plans.catalogue import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -64,3 +67,42 @@ def test_containment_asks_with_whole_passages(spark, small):
     docs = [(1, "the tail of it"), (2, f"{opening} the tail"), (3, f"{opening} another end"), (4, f"x {opening} {rest} y"), (5, opening[:30])]
     sf = small(benchmark=([(0, f"{opening} {rest}")], "item_id long, text string"), documents=(docs, "doc_id long, text string"))
     assert sorted(r["candidate_id"] for r in QUERIES["containment_join"](spark, sf).collect()) == [1, 2, 4, 5]
+
+
+def test_alignment_takes_whole_texts(spark, small):
+    """Against plain code: more than 12 pieces a text, which differ only behind their first 60 characters."""
+    r = random.Random(8)
+    opening = "the same sixty characters and more stand at the start of each piece "
+    piece = lambda: opening + "".join(r.choice("abcdefgh ") for _ in range(60)).strip()
+    truth = {1: [piece() for _ in range(13)], 2: ["b", "a"]}
+    found = {1: [t[:-3] + "xyz" for t in reversed(truth[1])] + [piece()], 2: ["a"]}
+    talk = [(k, turn, ". ".join(t)) for turn, side in enumerate((truth, found)) for k, t in side.items()]
+    sf = small(conversations=(talk + [(1, 2, "later. turns")], "conv_id long, turn long, text string"))
+    rows = lambda name: {(x["doc"], x["truth"], x["found"]): x["score"] for x in QUERIES[name](spark, sf).collect()}
+    best, greedy, most = {}, {}, {}
+    for k in truth:
+        free = list(range(len(truth[k])))
+        score = [[ratio_of(t, f) for f in found[k]] for t in truth[k]]
+        for j, f in enumerate(found[k]):
+            i = max(range(len(truth[k])), key=lambda i: (partial_of(f, truth[k][i]), -i))
+            best[k, i, j] = partial_of(f, truth[k][i])
+            i = max(free, key=lambda i: (score[i][j], -i), default=None)
+            if i is not None and score[i][j] > 40:
+                free.remove(i)
+                greedy[k, i, j] = score[i][j]
+        totals = {0: 0.0}  # of each set of truths that the findings so far can take
+        for j in range(len(found[k])):
+            for taken, total in list(totals.items()):
+                for i in range(len(truth[k])):
+                    if not taken >> i & 1:
+                        totals[taken | 1 << i] = max(totals.get(taken | 1 << i, 0.0), total + score[i][j])
+        most[k] = max(totals.values())
+    for name, want in (("best_evidence", best), ("greedy_alignment", greedy)):
+        assert rows(name) == {key: pytest.approx(v, abs=1e-6) for key, v in want.items()}, name
+    optimal = rows("optimal_alignment")
+    for k in truth:
+        mine = {key[1:]: v for key, v in optimal.items() if key[0] == k}
+        assert sorted(i for i, _ in mine if i is not None) == list(range(len(truth[k]))) and sorted(j for _, j in mine if j is not None) == list(range(len(found[k])))
+        pairs = {(i, j): v for (i, j), v in mine.items() if v is not None}
+        assert pairs == {(i, j): pytest.approx(ratio_of(truth[k][i], found[k][j]), abs=1e-6) for i, j in pairs}
+        assert sum(pairs.values()) == pytest.approx(most[k], abs=1e-4)
