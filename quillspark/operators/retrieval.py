@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import similarity, text
 
 
-def ranked(hits: DataFrame, branch: str, limit: int) -> DataFrame:
-    """The best hits of each mention by rounded score, ties to the smaller candidate_id.
+def ranked(hits: DataFrame, branch: str, limit: int | None) -> DataFrame:
+    """The best hits of each mention by rounded score, ties to the smaller candidate_id; all of them without a limit.
 
     Limits run before and after the shuffle (window group limit), so a popular mention sends limit rows a task.
     """
     order = Window.partitionBy("mention_id").orderBy(F.desc(F.round("score", 9)), "candidate_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("mention_id", F.lit(branch).alias("branch"), "candidate_id", "score", "rank")
+    rows = hits.withColumn("rank", F.row_number().over(order))
+    return (rows if limit is None else rows.where(F.col("rank") <= limit)).select("mention_id", F.lit(branch).alias("branch"), "candidate_id", "score", "rank")
 
 
 def exact(mentions: DataFrame, catalog: DataFrame, limit: int = 75, ascii_only: bool = False) -> DataFrame:
@@ -64,8 +65,8 @@ def _holds(big: DataFrame, small: DataFrame) -> DataFrame:
     return pairs.join(big.select("big_id", "big"), "big_id").join(small.select("small_id", "small"), "small_id").where(F.col("big").contains(F.col("small"))).select("big_id", "small_id")
 
 
-def contained(mentions: DataFrame, catalog: DataFrame, limit: int = 75, ascii_only: bool = False) -> DataFrame:
-    """Names that contain a mention's text, or are contained in it, both normalized."""
+def contained(mentions: DataFrame, catalog: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """All names that contain a mention's text, or are contained in it, both normalized; fusion is what limits them."""
     norm = lambda c: text.normalize_text(F.col(c), ascii_only)
     asked = mentions.select("mention_id", norm("text").alias("t")).where("t <> ''")
     names = catalog.select("candidate_id", norm("name").alias("t")).where("t <> ''")
@@ -73,7 +74,7 @@ def contained(mentions: DataFrame, catalog: DataFrame, limit: int = 75, ascii_on
     as_small = lambda df, key: df.select(F.col(key).alias("small_id"), F.col("t").alias("small"))
     inside = _holds(as_big(names, "candidate_id"), as_small(asked, "mention_id")).select(F.col("small_id").alias("mention_id"), F.col("big_id").alias("candidate_id"))
     around = _holds(as_big(asked, "mention_id"), as_small(names, "candidate_id")).select(F.col("big_id").alias("mention_id"), F.col("small_id").alias("candidate_id"))
-    return ranked(inside.union(around).distinct().withColumn("score", F.lit(1.0)), "contained", limit)
+    return ranked(inside.union(around).distinct().withColumn("score", F.lit(1.0)), "contained", None)
 
 
 def corpus_statistics(terms: DataFrame) -> DataFrame:

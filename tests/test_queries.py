@@ -106,3 +106,11 @@ def test_alignment_takes_whole_texts(spark, small):
         pairs = {(i, j): v for (i, j), v in mine.items() if v is not None}
         assert pairs == {(i, j): pytest.approx(ratio_of(truth[k][i], found[k][j]), abs=1e-6) for i, j in pairs}
         assert sum(pairs.values()) == pytest.approx(most[k], abs=1e-4)
+
+
+def test_containment_keeps_every_pair(spark, small):
+    docs = [(i, f"{i} the hot passage {i}") for i in range(100)]
+    sf = small(benchmark=([(0, "The hot passage")], "item_id long, text string"), documents=(docs, "doc_id long, text string"))
+    assert sorted(tuple(x) for x in QUERIES["containment_join"](spark, sf).collect()) == [(0, i, i + 1) for i in range(100)]
+    assert {x["candidate_id"] for x in QUERIES["candidate_union"](spark, sf).collect()} == set(range(100))
+    assert QUERIES["rrf_topk"](spark, sf).count() == 20
