@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import similarity, text
 
 
+#: Distinct texts of a block's part.
+BLOCK = 4096
+
+
 def ranked(hits: DataFrame, branch: str, limit: int | None) -> DataFrame:
     """The best hits of each mention by rounded score, ties to the smaller candidate_id; all of them without a limit.
 
@@ -28,22 +32,39 @@ def exact(mentions: DataFrame, catalog: DataFrame, limit: int = 75, ascii_only:
     return ranked(hits, "exact", limit)
 
 
-def blocked_fuzzy(mentions: DataFrame, catalog: DataFrame, score: Column, threshold: float, limit: int = 75, tokens: int = 4, most: int = 50_000, ascii_only: bool = False) -> DataFrame:
-    """Pairs that share a token (or, without tokens, a first character) and score threshold or more.
+def blocked_fuzzy(mentions: DataFrame, catalog: DataFrame, score: Column, threshold: float, limit: int = 75, tokens: int | None = None, ascii_only: bool = False) -> DataFrame:
+    """Pairs that share a token and score threshold or more. Mentions without a token that a name has meet the names
+    with their first character.
 
-    score reads columns a and b. Block keys held by more than most names are left to rarer tokens of the same pair.
+    score reads columns a and b. tokens: of a name, the first so many ask only (all of them by default). Distinct texts
+    are compared once, under the first token they share; a block of many texts is cut into parts, and every pair of
+    parts is a group of its own.
     """
 
-    def blocks(df: DataFrame, key: str, column: str, n: int) -> DataFrame:
-        words = F.slice(F.array_distinct(text.tokens(F.col(column), ascii_only)), 1, n)
-        norm = text.normalize_text(F.col(column), ascii_only)
-        return df.select(key, norm.alias("norm"), F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.concat(F.lit("^"), F.substring(norm, 1, 1))))).alias("block"))
-
-    left = blocks(mentions, "mention_id", "text", 64).withColumnRenamed("norm", "a")
-    right = blocks(catalog, "candidate_id", "name", tokens).withColumnRenamed("norm", "b")
-    common = right.groupBy("block").count().where(F.col("count") <= most).select("block")
-    pairs = left.join(right.join(common, "block"), "block").select("mention_id", "candidate_id", "a", "b").distinct()
-    return ranked(pairs.withColumn("score", score).where(F.col("score") >= threshold), "fuzzy", limit)
+    def texts(df: DataFrame, column: str, to: str) -> DataFrame:
+        words = F.array_distinct(text.tokens(F.col(column), ascii_only))
+        return df.select(text.normalize_text(F.col(column), ascii_only).alias(to), words.alias("words")).where(F.col(to) != "").distinct()
+
+    initial = lambda c: F.array(F.concat(F.lit("^"), F.substring(c, 1, 1)))
+    right = texts(catalog, "name", "b").withColumn("words", F.slice("words", 1, tokens) if tokens else F.col("words"))
+    left = texts(mentions, "text", "a")
+    known = right.select(F.explode("words").alias("word")).distinct()
+    met = left.select("a", F.explode("words").alias("word")).join(known, "word", "left_semi").select("a").distinct().withColumn("met", F.lit(True))
+    left = left.join(met, "a", "left").select("a", F.when(F.col("met"), F.col("words")).otherwise(initial("a")).alias("asks"))
+    right = right.select("b", F.concat("words", initial("b")).alias("has"))
+    left, right = left.withColumn("block", F.explode("asks")), right.withColumn("block", F.explode("has"))
+    parts = lambda df, n: df.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+    cuts = parts(left, "n_a").join(parts(right, "n_b"), "block")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = left.join(cuts, "block").withColumn("x", own("a", "n_a")).withColumn("y", each("n_b")).select("block", "x", "y", "a", "asks")
+    right = right.join(cuts, "block").withColumn("y", own("b", "n_b")).withColumn("x", each("n_a")).select("block", "x", "y", "b", "has")
+    once = F.element_at(F.array_intersect("asks", "has"), 1) == F.col("block")
+    pairs = left.join(right, ["block", "x", "y"]).where(once).select("a", "b").withColumn("score", score).where(F.col("score") >= threshold)
+    asked = mentions.select("mention_id", text.normalize_text(F.col("text"), ascii_only).alias("a"))
+    names = catalog.select("candidate_id", text.normalize_text(F.col("name"), ascii_only).alias("b"))
+    hits = pairs.join(asked, "a").join(names, "b").select("mention_id", "candidate_id", "score").distinct()
+    return ranked(hits, "fuzzy", limit)
 
 
 def _holds(big: DataFrame, small: DataFrame) -> DataFrame:

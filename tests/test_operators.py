@@ -169,3 +169,14 @@ def test_assembly(spark, tmp_path):
     box = spark.createDataFrame([(50.0, 300.0)], "x0 double, y0 double").select(*assembly.fractions(["x0", "y0"], F.lit(100.0), F.lit(200.0))).first()
     assert tuple(box) == (0.5, 1.0)
     assert [r["path"] for r in assembly.missing_outputs(spark, ["a", "b"], spark.createDataFrame([("a",)], "path string")).collect()] == ["b"]
+
+
+def test_fuzzy_blocks_are_whole(spark, monkeypatch):
+    """Hot tokens, tokens behind the fourth, names that share several tokens, and mentions whose tokens no name has."""
+    monkeypatch.setattr(retrieval, "BLOCK", 7, raising=False)
+    names = [(i, f"hot brand{i:02}") for i in range(30)] + [(40, "one two three four rare"), (41, "hot brand00"), (42, "paracetamol"), (43, "x")]
+    asks = [(1, "hot zz"), (2, "rare"), (3, "paracetmol"), (4, "hot brand00"), (5, "x!")]
+    m, c = spark.createDataFrame(asks, "mention_id long, text string"), spark.createDataFrame(names, "candidate_id long, name string")
+    got = retrieval.blocked_fuzzy(m, c, F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")), 9), 0.0).collect()
+    hot = {*range(30), 41}
+    assert sorted((x["mention_id"], x["candidate_id"]) for x in got) == sorted([(1, i) for i in hot] + [(2, 40), (3, 42), (5, 43)] + [(4, i) for i in hot])
