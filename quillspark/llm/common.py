@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
+#: Rows of a side that may be broadcast, and rows of one key that one task of a join gets.
+SMALL_ROWS, PART_ROWS = 300_000, 1000
+#: Rows of an Arrow batch, where the session has Spark's own default: texts are long, and workers hold whole batches.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,13 +72,49 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys with more than PART_ROWS rows in df, and how many parts they make; a written table of few rows."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > PART_ROWS) & F.col(key).isNotNull())
+    return stash(n.select(key, F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")), "hot")
+
+
+def split_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """many joined with one, which has a row for each key; hot: hot_keys of many.
+
+    The rows of a hot key are dealt by turns to as many parts as it has, each part with its own copy of one's row, so
+    that no key's rows meet in one task. many is a written table, for turns to be the same when a task runs again.
+    """
+    if not hot.limit(1).count():
+        return many.join(one, key, how)
+    hot = small_side(hot, SMALL_ROWS)
+    many = many.withColumn("turn", F.monotonically_increasing_id()).join(hot, key, "left").withColumn("part", F.pmod("turn", F.coalesce("parts", F.lit(1))).cast("int")).drop("turn", "parts")
+    one = one.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return many.join(one, [key, "part"], how).drop("part")
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z in lower case and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def release() -> None:
+    """Gives a Python worker's unused memory back, at the end of a partition: idle workers stay for the next stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where they don't find it by themselves."""
+    """Lets Python workers import this package where they don't find it by themselves; keeps their batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     top = str(PACKAGE.parent)
     on_path = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if top in on_path or os.path.realpath(os.getcwd()) == top or getattr(spark.sparkContext, "_quillspark_shipped", False):

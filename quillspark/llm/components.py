@@ -4,61 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ship, stash
+from .common import discard, hot_keys, release, ship, split_join, stash
+from .kernels import forest
+
+#: Links that are contracted at once.
+CONTRACTED = 100_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one partition, replaced by a spanning forest with the same components; memory follows the partition."""
-    up: dict[bytes, bytes] = {}
+    """Links, CONTRACTED at a time, replaced by a spanning forest with the same components."""
 
-    def root(x: bytes) -> bytes:
-        top = x
-        while (parent := up.get(top, top)) != top:
-            top = parent
-        while x != top:
-            up[x], x = top, up.get(x, x)
-        return top
+    def flush(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(kept)
+        both = pa.concat_arrays([c for k in (0, 1) for c in rows.column(k).chunks])
+        names = both.dictionary_encode()
+        order = names.dictionary.take(pc.sort_indices(names.dictionary))  # binary: in order of bytes, as Spark's
+        place = pc.index_in(names.dictionary, order).to_numpy()
+        ends = place[names.indices.to_numpy()].astype(np.int64)
+        root = forest(len(order), ends[: len(rows)], ends[len(rows) :])
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([order.take(pa.array(moved)), order.take(pa.array(root[moved]))], names=["a", "b"])
 
+    kept, n = [], 0
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            p, q = root(a), root(b)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-    nodes = list(up)
-    for i in range(0, len(nodes), 10_000):
-        part = nodes[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([root(x) for x in part], pa.binary())], names=["a", "b"])
+        if batch.num_rows:
+            kept.append(batch)
+            n += batch.num_rows
+        if n >= CONTRACTED:
+            yield flush(kept)
+            kept, n = [], 0
+    if kept:
+        yield flush(kept)
+    release()
 
 
 def contract(links: DataFrame) -> DataFrame:
-    """Drops links of columns a and b (binary) that each partition finds to be redundant."""
+    """Links of columns a and b (binary), written, to as few as each task finds to be enough; always a > b."""
     ship(links.sparkSession)
-    return links.select("a", "b").mapInArrow(_contract, "a binary, b binary")
+    raw = stash(links.select("a", "b").where("a <> b"), "raw-links")
+    out = stash(raw.mapInArrow(_contract, "a binary, b binary"), "links")
+    discard(raw)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links a-b (binary, not null); root is the smallest node of its component.
 
-    Each round is a large-star and a small-star step: minima per node are aggregated before they are shuffled and
-    joined back, so that a node with very many links is split by the skew join instead of being gathered. Rounds are
-    written to the shared folder and end when nothing moves; no link ever reaches the driver.
+    Links point from the larger node a to the smaller b. Each round is a large-star step (a joins what b's smallest
+    neighbour is) and a small-star step (all smaller neighbours of a join the smallest). Minima are aggregated before
+    they are shuffled. A node that very many links point to is cut into parts for the join; a node has few links of its
+    own, at most one from each contracted block and round. Rounds are written to the shared folder and end when nothing
+    moves; no link ever reaches the driver.
     """
-    links = stash(contract(links.where(F.col("a") != F.col("b"))), "links")
-    seen = None
+    links, seen = contract(links), None
     while True:
-        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        large = stash(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        down = large.join(least, "a")
-        small = down.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", F.col("least").alias("b")))
+        low = stash(links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("least")), "low")
+        hot = hot_keys(links, "b")
+        large = stash(split_join(links, low, "b", hot, "left").select("a", F.coalesce("least", "b").alias("b")).distinct(), "large")
+        least = stash(large.groupBy("a").agg(F.min("b").alias("least")), "least")
+        small = large.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", F.col("least").alias("b")))
         old, links = links, stash(small.distinct(), "small")
-        discard(old), discard(large)
+        for done in (old, low, hot, large, least):
+            discard(done)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             break

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes that are hashed in one go; longer texts are cut at white space.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _WS = np.zeros(256, bool)
 _WS[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

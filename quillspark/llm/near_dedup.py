@@ -12,44 +12,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small_side, stash
+from .common import SMALL_ROWS, hot_keys, release, ship, small_side, split_join, stash
 from .components import components
 from .kernels import MinHash, U, doc_words, forest, mix, shingles
 
-#: Length of a signature, and its first coordinates that a long posting list merges before the others.
-COORDINATES, PREFIX = 128, 32
-#: Probabilities, at most, that a pair just at the threshold shares no posted coordinate, has too few matches, and too few in the prefix.
-NO_POST, FEW_MATCHES, FEW_IN_PREFIX = 3e-7, 1.1e-6, 2e-9
+#: Length of a signature, and its first coordinates that a posting list merges before the others.
+COORDINATES, PREFIX = 128, 64
+#: Probability, at most, that a pair just at the threshold has too few matches.
+LOST = 1e-9
 #: Members of a posting list or cluster, and shingles of a cluster, that one block holds; larger ones are cut into blocks.
 LIST_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 1024, 512, 1_000_000
-#: Rows of a side that may be broadcast.
-SMALL_ROWS = 300_000
 
 
 @dataclass(frozen=True)
 class Layout:
-    """What a candidate pair of similarity percent / 100 needs: posted coordinates, matches of 128 and of the prefix."""
+    """What a candidate pair of similarity percent / 100 needs: matches of the 128 coordinates."""
 
     percent: int
-    posted: int
     matches: int
-    prefix_matches: int
 
     @classmethod
     def of(cls, percent: int) -> Layout:
-        """As few posts and as many matches as the probabilities allow: 8, 88, 13 for 85 and 10, 79, 10 for 80."""
-        p = percent / 100
-
-        def most(n: int, lost: float) -> int:
-            below = 0.0  # probability of fewer than k matches among n
-            for k in range(n):
-                below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
-                if below > lost:
-                    return k
-            return n
-
-        posted = next((k for k in range(1, COORDINATES) if (1 - p) ** k <= NO_POST), COORDINATES)
-        return cls(percent, posted, most(COORDINATES, FEW_MATCHES), most(PREFIX, FEW_IN_PREFIX))
+        """As many matches as leave out a pair just at the threshold with probability LOST at most."""
+        p, below = percent / 100, 0.0  # below: probability of fewer than k + 1 matches
+        for k in range(COORDINATES):
+            below += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+            if below > LOST:
+                return cls(percent, max(k, 1))
+        return cls(percent, COORDINATES)
+
+    @property
+    def posted(self) -> int:
+        """Coordinates to post under: with `matches` matches of 128, one at least lies among the first so many."""
+        return COORDINATES - self.matches + 1
+
+    @property
+    def prefix_matches(self) -> int:
+        """Matches among the first PREFIX coordinates below which the others can't make up for it."""
+        return max(0, self.matches - (COORDINATES - PREFIX))
 
     def sizes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether sets of these sizes can be that similar."""
@@ -62,7 +62,7 @@ def _sign(words: int, posted: int) -> Callable:
         salt = np.arange(posted, dtype=U) * U(0x9E3779B97F4A7C15)
         for batch in batches:
             count, digest, sig, posts = [], [], [], []
-            for h in doc_words(batch.column(1), lower=True):
+            for h in doc_words(batch.column(2), lower=True):
                 s = shingles(h, words)
                 count.append(len(s))
                 if not len(s):
@@ -73,9 +73,10 @@ def _sign(words: int, posted: int) -> Callable:
                 sig.append((mix(m) >> U(56)).astype(np.uint8).tobytes())
                 posts.append(mix(m[:posted] + salt).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(posts, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "sig", "posts"],
+                [batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(posts, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "digest", "sig", "posts"],
             )
+        release()
 
     return run
 
@@ -89,20 +90,17 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        cut = batch.num_rows
-        if kept or True:
-            last = [batch.column(k)[batch.num_rows - 1] for k in range(keys)]
-            lo, hi = 0, batch.num_rows - 1  # the first row of the last run, by bisection
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if all(batch.column(k)[mid] == last[k] for k in range(keys)):
-                    hi = mid
-                else:
-                    lo = mid + 1
-            cut = lo
-        if cut:
-            yield pa.Table.from_batches([*kept, batch.slice(0, cut)])
-            kept = [batch.slice(cut)]
+        last = [batch.column(k)[batch.num_rows - 1] for k in range(keys)]
+        lo, hi = 0, batch.num_rows - 1  # the first row of the last run, by bisection
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if all(batch.column(k)[mid] == last[k] for k in range(keys)):
+                hi = mid
+            else:
+                lo = mid + 1
+        if lo:
+            yield pa.Table.from_batches([*kept, batch.slice(0, lo)])
+            kept = [batch.slice(lo)]
         elif kept and any(kept[-1].column(k)[0] != batch.column(k)[0] for k in range(keys)):
             yield pa.Table.from_batches(kept)
             kept = [batch]
@@ -123,7 +121,8 @@ def _starts(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _matching(sig: np.ndarray, size: np.ndarray, need: Layout) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one long list with enough matches: the prefix is merged first, the rest only where it suffices."""
+    """Pairs of one long list with enough matches. Collisions are counted over the prefix first; pairs that the other
+    coordinates can't lift over the threshold any more are skipped."""
     a, b = [], []
     for i in range(0, len(sig), 64):
         part = sig[i : i + 64]
@@ -165,6 +164,7 @@ def _merge(need: Layout) -> Callable:
             linked = np.flatnonzero(root != np.arange(len(root)))
             digest = rows.column(3).combine_chunks()
             yield pa.RecordBatch.from_arrays([digest.take(pa.array(root[linked])), digest.take(pa.array(linked))], names=["a", "b"])
+        release()
 
     return merged
 
@@ -198,28 +198,42 @@ def _confirmed(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return a, b
 
 
-def _confirm(words: int, percent: int) -> Callable:
+def _sets(words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members (root, digest, n, text) of clusters to their shingle sets, once each digest of a batch.
+
+        Rows that share a member's doc_id and text key but not the text came along in the join; digests tell.
+        """
+        for batch in batches:
+            keep, out, seen = [], [], set()
+            for k, (own, h) in enumerate(zip(batch.column(1).to_pylist(), doc_words(batch.column(3), lower=True), strict=True)):
+                if own not in seen:
+                    s = shingles(h, words).tobytes()
+                    if hashlib.blake2b(s, digest_size=16).digest() == own:
+                        seen.add(own), keep.append(k), out.append(s)
+            took = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*took.columns[:3], pa.array(out, pa.binary())], names=["root", "digest", "n", "shingles"])
+        release()
+
+    return run
+
+
+def _confirm(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted members (root, x, y, digest, text) of candidate clusters to a spanning forest of the true links."""
+        """Sorted members (root, x, y, digest, shingles) of candidate clusters to a spanning forest of the true links."""
         for rows in runs(batches, 3):
-            at = _starts([rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(), rows.column(2).to_numpy()])
-            digest, text = rows.column(3).combine_chunks(), rows.column(4).combine_chunks()
+            at = _starts([rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy()])
+            digest, held = rows.column(3), rows.column(4)
             a, b = [], []
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                sets, known = [], {}
-                for k, h in zip(range(lo, hi), doc_words(text.slice(lo, hi - lo), lower=True), strict=True):
-                    s = shingles(h, words)
-                    own = digest[k].as_py()
-                    # Rows that share the doc_id but not the text came along in the join; each class needs one text.
-                    if own not in known and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == own:
-                        known[own] = k
-                        sets.append(s)
-                ids = np.array(list(known.values()), np.int64)
+                known = dict(zip(digest.slice(lo, hi - lo).to_pylist(), held.slice(lo, hi - lo).to_pylist(), strict=True))
+                ids, sets = list(known), [np.frombuffer(s, U) for s in known.values()]
                 root = forest(len(ids), *_confirmed(sets, percent))
                 linked = np.flatnonzero(root != np.arange(len(root)))
-                a += [digest[int(ids[k])].as_py() for k in root[linked]]
-                b += [digest[int(ids[k])].as_py() for k in linked]
+                a += [ids[k] for k in root[linked]]
+                b += [ids[k] for k in linked]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        release()
 
     return run
 
@@ -230,6 +244,49 @@ def _blocks(rows: DataFrame, n: str, key: str) -> DataFrame:
     return rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("own", "other")
 
 
+def groups(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
+    """As near_duplicates, with text_key (xxhash64 of the text, null as empty) and chosen: of each group the row with the
+    smallest doc_id (nulls last) and then text key is chosen, and so is every row without shingles.
+
+    Rows that repeat the chosen one in both are chosen too.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    need = Layout.of(percent)
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
+    signed = stash(docs.mapInArrow(_sign(words, need.posted), "doc_id long, text_key long, n_shingles long, digest binary, sig binary, posts array<long>"), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    classes = signed.where("digest is not null").groupBy("digest").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("posts").alias("posts"))
+    classes = stash(classes, "classes")
+
+    posted = classes.select("digest", F.explode("posts").alias("post"))
+    shared = stash(posted.groupBy("post").count().where("count > 1").select("post", F.ceil(F.col("count") / LIST_BLOCK).cast("int").alias("n")), "shared")
+    posted = posted.join(small_side(shared, SMALL_ROWS), "post").join(classes.select("digest", "sig", "n_shingles"), "digest")
+    posted = _blocks(posted, "n", "digest").select("post", "x", "y", "digest", "sig", "n_shingles").repartition("post", "x", "y").sortWithinPartitions("post", "x", "y")
+    clusters = stash(components(posted.mapInArrow(_merge(need), "a binary, b binary")), "clusters")
+
+    member = stash(clusters.join(classes.select(F.col("digest").alias("node"), "first", "n_shingles"), "node"), "members")
+    sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("n"))
+    member = split_join(member, stash(sizes, "sizes"), "root", hot_keys(member, "root"))
+    member = stash(member.select("root", F.col("node").alias("digest"), "n", F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_key")), "member")
+    texts = docs.join(small_side(member, SMALL_ROWS), docs["doc_id"].eqNullSafe(member["own_id"]) & (docs["text_key"] == member["own_key"])).select("root", "digest", "n", "text")
+    sets = stash(texts.mapInArrow(_sets(words), "root binary, digest binary, n int, shingles binary"), "sets")
+    sets = _blocks(sets, "n", "digest").select("root", "x", "y", "digest", "shingles").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+    links = stash(components(sets.mapInArrow(_confirm(percent), "a binary, b binary")), "confirmed")
+
+    member = stash(links.withColumnRenamed("node", "digest").join(classes.select("digest", "first"), "digest"), "linked")
+    lowest = stash(member.groupBy("root").agg(F.min("first").alias("lowest")), "lowest")
+    member = split_join(member, lowest, "root", hot_keys(member, "root")).select("digest", "lowest")
+    named = stash(classes.select("digest", "first").join(member, "digest", "left").select("digest", F.coalesce("lowest", "first").alias("first")), "named")
+    slim = signed.select("doc_id", "text_key", "n_shingles", "digest")
+    held = split_join(slim.where("digest is not null"), named, "digest", hot_keys(signed.select("digest"), "digest"))
+    chosen = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key").eqNullSafe(F.col("first"))
+    held = held.select("doc_id", "text_key", "n_shingles", F.col("first.doc_id").alias("component_id"), chosen.alias("chosen"))
+    none = slim.where("digest is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen"))
+    return held.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
     """Components of documents whose word-shingle sets have a Jaccard similarity of percent / 100 or more.
 
@@ -238,43 +295,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
 
     1. Each text is signed once: distinct shingles, a digest of the whole set, 128 minimum hashes. Rows with equal
        sets become one class, aggregated map-side.
-    2. Inverted join: a class is posted under its first (coordinate, value) pairs, 8 for 85 and 10 for 80 percent;
-       texts just that similar share none of them with probability 0.15^8 and 0.2^10. Lists longer than 1024 are cut into blocks and every pair of blocks is a task's
-       work, so that no list meets whole in one task. A list merges a prefix of 32 coordinates first, skips on, and
-       keeps pairs with 88 of 128 matches or more (79 for 80 percent). It returns a spanning forest of them, never all pairs.
+    2. Inverted join: a pair needs so many matches of 128 (about 82 for 85 percent) that texts just that similar have
+       fewer with probability 1e-9 at most. Then one match at least lies among the first 128 - matches + 1 coordinates:
+       a class is posted under those coordinate-value pairs that another class has too. Lists longer than 1024 are cut
+       into blocks and every pair of blocks is a task's work, so that no list meets whole in one task. A list counts
+       collisions over a prefix of 64 coordinates first and skips pairs that can't reach the threshold any more. It
+       returns a spanning forest of the rest, never all pairs.
     3. The forests' components are candidate clusters; the full sets of each cluster (again by pairs of blocks) are
        intersected exactly, and components of the confirmed links give the result.
 
     Null or word-less texts have no shingles, link with nothing, and are their own component. Null doc_ids take part
-    with their texts but never name a component; kept is then false unless nothing names it. Repeated rows give
-    repeated results. An empty table gives an empty result.
+    with their texts but never name a component unless all of it have none; kept is false unless nothing names it.
+    Repeated rows give repeated results. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    need = Layout.of(percent)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stash(docs.mapInArrow(_sign(words, need.posted), "doc_id long, n_shingles long, digest binary, sig binary, posts array<long>"), "signed")
-    classes = stash(
-        signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("posts").alias("posts")), "classes"
-    )
-
-    posted = classes.select("digest", "sig", "n_shingles", F.explode("posts").alias("post"))
-    long = stash(classes.select(F.explode("posts").alias("post")).groupBy("post").count().where(F.col("count") > LIST_BLOCK).select("post", F.ceil(F.col("count") / LIST_BLOCK).cast("int").alias("n")), "long")
-    posted = posted.join(small_side(long, SMALL_ROWS), "post", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    posted = _blocks(posted, "n", "digest").select("post", "x", "y", "digest", "sig", "n_shingles").repartition("post", "x", "y").sortWithinPartitions("post", "x", "y")
-    clusters = stash(components(posted.mapInArrow(_merge(need), "a binary, b binary")), "clusters")
-
-    member = clusters.join(classes.select(F.col("digest").alias("node"), "least", "n_shingles"), "node")
-    sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("n"))
-    member = stash(member.join(sizes, "root").select("root", F.col("node").alias("digest"), F.col("least").alias("doc_id"), "n"), "member")
-    texts = docs.join(small_side(member, SMALL_ROWS), docs["doc_id"].eqNullSafe(member["doc_id"])).select("root", "digest", "n", "text")
-    texts = _blocks(texts, "n", "digest").select("root", "x", "y", "digest", "text").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
-    final = components(texts.mapInArrow(_confirm(words, percent), "a binary, b binary"))
-
-    named = classes.select("digest", "least").join(final.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    named = named.select("digest", "root", "least")
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(lowest, "root").select("digest", "component_id")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return groups(docs, words, percent).select("doc_id", "n_shingles", "component_id", "kept")

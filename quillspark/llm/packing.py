@@ -11,17 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, small_side, stash
+from .common import release, ship, stash
 from .cutting_stock import cut
 from .word_bpe import WordBpe
 
 VOCABULARY, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
 #: Lengths are planned in steps of so many tokens: the plan has CAPACITY / STEP classes.
 STEP = 8
-#: Pieces that one task ranks, about.
-RANKED = 200_000
-#: Rows of a side that may be broadcast.
-SMALL_ROWS = 300_000
+#: Pieces of a class that one task ranks, about.
+RANKED = 1000
 
 
 def _pieces(path: str, end_id: int, capacity: int) -> Callable:
@@ -37,6 +35,7 @@ def _pieces(path: str, end_id: int, capacity: int) -> Callable:
                     part = ids[4 * at : 4 * (at + capacity)]
                     doc.append(doc_id.as_py()), start.append(at), length.append(len(part) // 4), crc.append(zlib.crc32(part)), tokens.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, start, length, crc, tokens)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        release()
 
     return run
 
@@ -67,8 +66,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacit
     capacity / step classes at most: all that the driver sees, whatever the number of documents. Column generation
     (linear program, knapsack pricing) turns it into patterns; rounded down they are used so many times, and what
     rounding leaves over (less than a sequence for each class) is filled by exact subset sums. Pieces are ranked within their
-    class, split by a hash of their document so that no class meets in one task, and a rank is looked up in the
-    patterns. Null texts count as empty (the end id alone); null doc_ids and repeated rows are packed like others.
+    class, dealt by turns (written with the pieces) to parts of RANKED so that no class meets in one task, and a rank is looked up in the patterns. Null texts count as empty (the end id alone); null doc_ids and repeated rows are packed like others.
     """
     if capacity % step:
         raise ValueError("step must divide capacity")
@@ -76,16 +74,17 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacit
     ship(spark)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = stash(docs.mapInArrow(_pieces(path or public_tokenizers.path(VOCABULARY), end_id, capacity), schema), "pieces").withColumn("class", F.ceil(F.col("length") / step).cast("int"))
+    pieces = stash(docs.mapInArrow(_pieces(path or public_tokenizers.path(VOCABULARY), end_id, capacity), schema).withColumn("turn", F.monotonically_increasing_id()), "pieces").withColumn("class", F.ceil(F.col("length") / step).cast("int"))
     histogram = [(r["class"], r["n"]) for r in pieces.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy("class").collect()]
     ranges = spark.createDataFrame(_plan(histogram, capacity, step), "class int, lo long, hi long, sequence long, copies int, slot int")
 
-    parts = max(1, -(-sum(n for _, n in histogram) // RANKED))
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int"))
+    parts = spark.createDataFrame([(c, -(-n // RANKED)) for c, n in histogram], "class int, parts int")  # a row for each class
+    pieces = pieces.join(F.broadcast(parts), "class").withColumn("part", F.pmod("turn", "parts").cast("int"))
     counts = stash(pieces.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     before = counts.select("class", "part", (F.sum("n").over(Window.partitionBy("class").orderBy("part")) - F.col("n")).alias("before"))
     order = Window.partitionBy("class", "part").orderBy("doc_id", "start", "ids_crc32", "length", "doc_tokens")
-    ranked = pieces.withColumn("row", F.row_number().over(order)).join(small_side(before, SMALL_ROWS), ["class", "part"]).withColumn("rank", F.col("before") + F.col("row") - 1)
+    # Dealt by class and part, as the ranks: the counts join without another shuffle of pieces.
+    ranked = pieces.withColumn("row", F.row_number().over(order)).join(before, ["class", "part"]).withColumn("rank", F.col("before") + F.col("row") - 1)
     # A range table has a row for each class of each pattern: at most capacity / step classes, and as many patterns
     # again for what rounding leaves over.
     placed = ranked.join(F.broadcast(ranges), (ranked["class"] == ranges["class"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))

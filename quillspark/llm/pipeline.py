@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, stash, table
-from .near_dedup import near_duplicates
+from .common import SMALL_ROWS, small_side, stash, table
+from .near_dedup import groups
 from .packing import pack
 from .quality import quality_verdicts
 from .secrets import redact, secret_spans
@@ -14,33 +14,37 @@ from .secrets import redact, secret_spans
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Jaccard similarity, in percent, from which the stage links documents; op5's own is 85.
 PERCENT = 80
-#: Rows of a side that may be broadcast.
-SMALL_ROWS = 300_000
+
+
+def key(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in dropped (doc_id null-safe); dropped is a written table."""
-    dropped = small_side(dropped, SMALL_ROWS)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    """docs but for rows whose doc_id (null-safe) and text key are in dropped, a written table of distinct rows."""
+    dropped = small_side(dropped.select(F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_key")), SMALL_ROWS)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]) & (key() == dropped["dropped_key"]), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base limits or the trees reject go. Rows that share a doc_id stay if any of them is kept."""
+    """Documents that the base limits or the trees reject go, each row by its own text."""
     verdicts = quality_verdicts(docs, table(spark, sf_dir, "labels"))
-    dropped = verdicts.groupBy(F.col("doc_id").alias("dropped_id")).agg(F.max("kept").alias("kept")).where("not kept").select("dropped_id")
-    return without(docs, stash(dropped, "rejected")).select(*COLUMNS)
+    return without(docs, stash(verdicts.where("not kept").select("doc_id", "text_key").distinct(), "rejected")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (0.8 or more) the document with the smallest doc_id stays, once if its row is repeated."""
-    groups = stash(near_duplicates(docs, percent=PERCENT), "groups")
-    dropped = groups.groupBy(F.col("doc_id").alias("dropped_id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    left = without(docs, stash(dropped.where("not kept").select("dropped_id"), "duplicates")).select(*COLUMNS)
-    repeated = stash(dropped.where("kept and n > 1").select("dropped_id"), "repeated")
+    """Of each group of near-duplicates (0.8 or more) one document stays: the smallest doc_id (nulls last), then text key.
+
+    Rows without words are in no group and all stay. A chosen row that is repeated stays once.
+    """
+    found = stash(groups(docs, percent=PERCENT), "groups")
+    left = without(docs, stash(found.where("not chosen").select("doc_id", "text_key").distinct(), "duplicates")).select(*COLUMNS)
+    repeated = stash(found.where("chosen and n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "repeated")
     if not repeated.limit(1).count():
         return left
-    again = left.join(small_side(repeated, SMALL_ROWS), left["doc_id"].eqNullSafe(repeated["dropped_id"]), "left_semi")
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64("lang", "source", "n_chars"))
+    again = small_side(repeated.select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key")), SMALL_ROWS)
+    again = left.withColumn("text_key", key()).join(again, left["doc_id"].eqNullSafe(again["again_id"]) & (F.col("text_key") == again["again_key"]), "left_semi")
+    first = Window.partitionBy("doc_id", "text_key").orderBy("lang", "source", "n_chars")
     return without(left, repeated).union(again.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(*COLUMNS))
 
 

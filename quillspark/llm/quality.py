@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, ship, stash
+from .common import bounded_sample, release, ship, stash
 from .kernels import _PLACE, U, doc_words, mix, text_bytes
 from .trees import Trees, fit
 
@@ -22,7 +22,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Features and the direction in which each may move the verdict (0: either).
 FEATURES = {"log_words": 0, "word_length": 0, "symbols_per_word": -1, "dup_line_share": -1, "repeat_share": -1, "distinct_share": 0, "top_word_share": -1, "upper_share": -1, "digit_share": -1, "exclaim_per_word": -1, "words_per_line": 0}
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
-_SCHEMA = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), *(f"{c} double" for c in FEATURES)])
+_SCHEMA = ", ".join(["doc_id long", "text_key long", *(f"{c} long" for c in COUNTS), *(f"{c} double" for c in FEATURES)])
 
 
 def _window_words(words: np.ndarray) -> int:
@@ -50,9 +50,9 @@ def _lines(text: bytes) -> tuple[int, int]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, off = text_bytes(batch.column(1))
+        raw, off = text_bytes(batch.column(2))
         counts, features = [], []
-        for i, words in enumerate(doc_words(batch.column(1), lower=False)):
+        for i, words in enumerate(doc_words(batch.column(2), lower=False)):
             data = raw[off[i] : off[i + 1]]
             by = np.zeros(256, np.int64)
             for k in range(0, len(data), 1 << 20):
@@ -68,36 +68,42 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features.append((np.log1p(n), chars / w, symbols / w, dup / max(lines, 1), again / w, len(times) / w, times.max() / w, by[65:91].sum() / c, by[48:58].sum() / c, by[33] / w, n / max(lines, 1)))
         counts = np.array(counts, np.int64).reshape(-1, len(COUNTS))
         features = np.array(features, np.float64).reshape(-1, len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts.T), *(pa.array(f) for f in features.T)], names=["doc_id", *COUNTS, *FEATURES])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in counts.T), *(pa.array(f) for f in features.T)], names=["doc_id", "text_key", *COUNTS, *FEATURES])
+    release()
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts and the features of every text; words are longest runs without characters 9-13 and 32."""
+    """doc_id, text_key (xxhash64 of the text, null as empty), the counts and the features of every text; words are
+    longest runs without characters 9-13 and 32."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, _SCHEMA)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(_measure, _SCHEMA)
 
 
 def train(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
     """Trees for quality = 1, from at most fit_rows labelled documents. Null labels and ids don't count."""
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
-    sample = bounded_sample(stats.join(labelled, "doc_id").select("doc_id", "quality", *FEATURES), "doc_id", fit_rows, labelled.count()).toPandas()
+    joined = stash(stats.join(labelled, "doc_id").select("doc_id", "quality", *FEATURES), "labelled")
+    sample = bounded_sample(joined, "doc_id", fit_rows, joined.count()).toPandas()
     return fit(sample[list(FEATURES)].to_numpy(np.float64), sample["quality"].to_numpy(np.float64), np.array(list(FEATURES.values())))
 
 
 def _judge(model: Trees, keep_from: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(k).to_numpy() for k in range(1 + len(COUNTS), batch.num_columns)], 1)
+            x = np.stack([batch.column(k).to_numpy() for k in range(2 + len(COUNTS), batch.num_columns)], 1)
             p = 1 / (1 + np.exp(-model.score(x)))
-            counts = [batch.column(k).to_numpy() for k in range(1, 1 + len(COUNTS))]
+            counts = [batch.column(k).to_numpy() for k in range(2, 2 + len(COUNTS))]
             failed = (counts[0] < 50) | (100 * counts[4] > 50 * counts[0])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(COUNTS)], pa.array(failed), pa.array(~failed & (p >= keep_from)), pa.array(p)], names=["doc_id", *COUNTS, "base_failed", "kept", "p_good"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2 : 2 + len(COUNTS)], pa.array(failed), pa.array(~failed & (p >= keep_from)), pa.array(p), batch.column(1)], names=["doc_id", *COUNTS, "base_failed", "kept", "p_good", "text_key"])
+        release()
 
     return run
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
-    """One row for each document: its counts, base_failed, kept, and p_good, the trees' probability of good quality.
+    """One row for each document: its counts, base_failed, kept, p_good (the trees' probability of
+    good quality) and text_key (xxhash64 of the text, null as empty).
 
     docs: doc_id long, text string; labels: doc_id long, quality 0 or 1; other columns are ignored. Each text is read
     once; the statistics are written and both the fit (a bounded sample of labelled rows) and the scoring read those.
@@ -106,5 +112,5 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROW
     """
     stats = stash(statistics(docs), "stats")
     model = train(stats, labels, fit_rows)
-    schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean", "kept boolean", "p_good double"])
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean", "kept boolean", "p_good double", "text_key long"])
     return stats.mapInArrow(_judge(model, keep_from), schema)

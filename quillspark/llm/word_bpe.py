@@ -12,8 +12,8 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Words that a worker remembers.
-REMEMBER = 200_000
+#: Bytes, about, of the words that a worker remembers, and what an entry takes besides its characters and ids.
+REMEMBER, ENTRY = 24 << 20, 200
 #: Characters whose case and class are the same in all of the libraries; other texts take the library's own way.
 _COMMON = [c for c in (*range(0x180), *range(0x2010, 0x2028), 0x20AC) if c not in range(0x1C, 0x20)]
 #: End of a word; no UTF-8 text has this byte.
@@ -42,17 +42,19 @@ class _Words(dict):
 
     def __init__(self, merge):
         super().__init__()
-        self.merge = merge
+        self.merge, self.size = merge, 0
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) >= REMEMBER:
+        if self.size >= REMEMBER:
             self.clear()
+            self.size = 0
         ids: list[int] = []
         for word in _WORD.findall(run):
             ids += self.merge(word.encode() + _END)
         found = pack(f"<{len(ids)}I", *ids)
         if len(run) < 64:
             self[run] = found
+            self.size += ENTRY + len(run) + len(found)
         return found
 
 

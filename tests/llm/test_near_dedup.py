@@ -1,12 +1,13 @@
 """Near-duplicates against all pairs, components, shingles."""
 
 import itertools
+import math
 import random
 
 import numpy as np
 import pytest
 
-from quillspark.llm import components, kernels, near_dedup, queries
+from quillspark.llm import common, components, kernels, near_dedup, queries
 
 
 def plain(texts):
@@ -118,8 +119,37 @@ def test_words_and_shingles(odd_texts):
     assert len(kernels.shingles(np.arange(3, dtype=np.uint64))) == 1 and not len(kernels.shingles(np.zeros(0, np.uint64)))
 
 
-def test_layout_by_percent():
-    assert [near_dedup.Layout.of(p) for p in (85, 80)] == [near_dedup.Layout(85, 8, 88, 13), near_dedup.Layout(80, 10, 79, 10)]
+@pytest.mark.parametrize("percent", [85, 80, 95, 50])
+def test_layout(percent):
+    """Fewer matches than asked for have a probability of 1e-9 at most, and enough matches always touch a post."""
+    need, p = near_dedup.Layout.of(percent), percent / 100
+    below = sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(need.matches))
+    assert below <= 1e-9 and need.matches + need.posted == 129
+    assert need.prefix_matches == max(0, need.matches - 64)
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    """A link target, a cluster and an exact group of many rows, each cut into parts."""
+    monkeypatch.setattr(common, "PART_ROWS", 5)
+    r = random.Random(9)
+    texts = [*family(r, [f"w{i}" for i in range(300)], 60, 3)] + ["the same text for many rows of this table"] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(df)
+    links = [(b"a", bytes([k + 98])) for k in range(50)] + [(bytes([k + 98]), bytes([200, k])) for k in range(50)]
+    assert {bytes(x) for _, x in components.components(spark.createDataFrame(links, "a binary, b binary")).collect()} == {b"a"}
+
+
+def test_one_row_of_each_group_stays(spark, sf):
+    """Rows that share an id, or have none, are judged by their own texts."""
+    from quillspark.llm import pipeline
+
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = [(5, a), (5, a + " end"), (5, b), (6, b), (None, a + " more"), (None, "no id " * 30), (None, "no id " * 30), (None, "no id " * 31), (7, a), (7, a), (8, "alone in here"), (8, "alone in here"), (9, None), (9, None)]
+    df = spark.createDataFrame([(*x, None, None, None) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [tuple(x)[:2] for x in pipeline.near_dedup(spark, df, sf).collect()]
+    groups = [[x for x in left if x[1] and x[1].startswith(k)] for k in ("a0", "b0", "no id", "alone")]
+    assert [len(g) for g in groups] == [1, 1, 1, 1] and groups[0][0][0] == 5 and groups[1][0] == (5, b)
+    assert left.count((9, None)) == 2 and len(left) == 6
 
 
 @pytest.mark.parametrize("n", [1, 40])

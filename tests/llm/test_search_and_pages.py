@@ -1,5 +1,6 @@
 """Nearest neighbours, URL filters, page text, quality trees and the pipeline."""
 
+import itertools
 import re
 
 import numpy as np
@@ -184,18 +185,33 @@ def test_trees_are_monotone():
 
 
 def test_pipeline(spark, sf):
-    """Each stage on its own input, against the operators' own results."""
+    """Each stage on its own input: the operators' own verdicts, all pairs from 0.8 on, patterns, and the pieces."""
     docs = queries.table(spark, sf, "documents")
     kept = pipeline.quality(spark, docs, sf)
     verdict = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(docs, queries.table(spark, sf, "labels")).collect()}
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, k in verdict.items() if k}
     left = pipeline.near_dedup(spark, kept, sf)
-    groups = {r["doc_id"]: r["component_id"] for r in queries.near_duplicates(kept).collect()}
-    assert sorted(r["doc_id"] for r in left.select("doc_id").collect()) == sorted(set(groups.values()))
+    sets = {}
+    for r in kept.collect():
+        w = r["text"].encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    up = {i: i for i in sets}
+    root = lambda i: i if up[i] == i else root(up[i])
+    for i, j in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            p, q = sorted((root(i), root(j)))
+            up[q] = p
+    assert sorted(r["doc_id"] for r in left.select("doc_id").collect()) == sorted({root(i) for i in sets})
     clean = pipeline.secret_scan(spark, left, sf)
     before, after = ({r["doc_id"]: r["text"] for r in d.collect()} for d in (left, clean))
     assert set(before) == set(after) and not any(re.search(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}|password=[0-9a-f]{8}", t) for t in after.values())
     assert all(after[i] == t for i, t in before.items() if not re.search(r"(?i)AKIA|[0-9a-f]{32}|password|token|secret|api_?key|[A-Za-z0-9+/_=-]{20}", t))
-    assert {r["doc_id"] for r in pipeline.packing(spark, clean, sf).collect()} == set(after)
+    pieces = pipeline.packing(spark, clean, sf).collect()
+    held = {}
+    for r in pieces:
+        held.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    assert set(held) == set(after)
+    for parts in held.values():
+        assert [s for s, _, _ in sorted(parts)] == [sum(n for _, n, _ in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n, _ in parts) == parts[0][2]
     twice = pipeline.near_dedup(spark, kept.union(kept), sf)
     assert twice.count() == left.count()
