@@ -46,8 +46,10 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
+def discard(df: DataFrame | None) -> None:
     """Deletes what stash wrote for df, once nothing reads it any more."""
+    if df is None:
+        return
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
@@ -72,19 +74,22 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys with more than PART_ROWS rows in df, and how many parts they make; a written table of few rows."""
+def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """Keys with more than PART_ROWS rows in df and how many parts they make, as a written table of few rows; None if
+    there is none, as in most tables."""
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > PART_ROWS) & F.col(key).isNotNull())
-    return stash(n.select(key, F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")), "hot")
+    if not n.limit(1).count():
+        return None
+    return stash(n.select(key, F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")).coalesce(8), "hot")
 
 
-def split_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+def split_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """many joined with one, which has a row for each key; hot: hot_keys of many.
 
     The rows of a hot key are dealt by turns to as many parts as it has, each part with its own copy of one's row, so
     that no key's rows meet in one task. many is a written table, for turns to be the same when a task runs again.
     """
-    if not hot.limit(1).count():
+    if hot is None:
         return many.join(one, key, how)
     hot = small_side(hot, SMALL_ROWS)
     many = many.withColumn("turn", F.monotonically_increasing_id()).join(hot, key, "left").withColumn("part", F.pmod("turn", F.coalesce("parts", F.lit(1))).cast("int")).drop("turn", "parts")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from .kernels import forest
 CONTRACTED = 100_000
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links, CONTRACTED at a time, replaced by a spanning forest with the same components."""
 
     def flush(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -44,33 +44,28 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def contract(links: DataFrame) -> DataFrame:
-    """Links of columns a and b (binary), written, to as few as each task finds to be enough; always a > b."""
-    ship(links.sparkSession)
-    raw = stash(links.select("a", "b").where("a <> b"), "raw-links")
-    out = stash(raw.mapInArrow(_contract, "a binary, b binary"), "links")
-    discard(raw)
-    return out
+def components(rows: DataFrame, links: Callable | None = None) -> DataFrame:
+    """(node, root) for every node of links a-b (binary, not null); root is the smallest node of its component.
 
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links a-b (binary, not null); root is the smallest node of its component.
-
-    Links point from the larger node a to the smaller b. Each round is a large-star step (a joins what b's smallest
+    rows: the links, or what the function links (of Arrow batches) makes them of. Tasks contract their links at once,
+    to as few as they find to be enough. Links point from the larger node a to the smaller b. Each round is a large-star step (a joins what b's smallest
     neighbour is) and a small-star step (all smaller neighbours of a join the smallest). Minima are aggregated before
     they are shuffled. A node that very many links point to is cut into parts for the join; a node has few links of its
     own, at most one from each contracted block and round. Rounds are written to the shared folder and end when nothing
     moves; no link ever reaches the driver.
     """
-    links, seen = contract(links), None
+    ship(rows.sparkSession)
+    rows = rows if links else rows.select("a", "b").where("a <> b")
+    found = rows.mapInArrow(lambda batches: contract(links(batches) if links else batches), "a binary, b binary")
+    links, seen = stash(found, "links"), None
     while True:
-        low = stash(links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("least")), "low")
+        low = links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("least"))
         hot = hot_keys(links, "b")
         large = stash(split_join(links, low, "b", hot, "left").select("a", F.coalesce("least", "b").alias("b")).distinct(), "large")
-        least = stash(large.groupBy("a").agg(F.min("b").alias("least")), "least")
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", F.col("least").alias("b")))
         old, links = links, stash(small.distinct(), "small")
-        for done in (old, low, hot, large, least):
+        for done in (old, hot, large):
             discard(done)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:

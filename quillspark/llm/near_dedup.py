@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, hot_keys, release, ship, small_side, split_join, stash
+from .common import SMALL_ROWS, discard, hot_keys, release, ship, small_side, split_join, stash
 from .components import components
 from .kernels import MinHash, U, doc_words, forest, mix, shingles
 
 #: Length of a signature, and its first coordinates that a posting list merges before the others.
 COORDINATES, PREFIX = 128, 64
-#: Probability, at most, that a pair just at the threshold has too few matches.
+#: Probability, at most, that a pair just at the threshold has too few matches, and that it shares no posted coordinate.
 LOST = 1e-9
 #: Members of a posting list or cluster, and shingles of a cluster, that one block holds; larger ones are cut into blocks.
 LIST_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 1024, 512, 1_000_000
@@ -43,8 +43,9 @@ class Layout:
 
     @property
     def posted(self) -> int:
-        """Coordinates to post under: with `matches` matches of 128, one at least lies among the first so many."""
-        return COORDINATES - self.matches + 1
+        """Coordinates to post under: as many as it takes for a shared one, with probability LOST or for certain."""
+        likely = math.ceil(math.log(LOST) / math.log(1 - self.percent / 100)) if self.percent < 100 else 1
+        return min(likely, COORDINATES - self.matches + 1)
 
     @property
     def prefix_matches(self) -> int:
@@ -264,23 +265,26 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
     shared = stash(posted.groupBy("post").count().where("count > 1").select("post", F.ceil(F.col("count") / LIST_BLOCK).cast("int").alias("n")), "shared")
     posted = posted.join(small_side(shared, SMALL_ROWS), "post").join(classes.select("digest", "sig", "n_shingles"), "digest")
     posted = _blocks(posted, "n", "digest").select("post", "x", "y", "digest", "sig", "n_shingles").repartition("post", "x", "y").sortWithinPartitions("post", "x", "y")
-    clusters = stash(components(posted.mapInArrow(_merge(need), "a binary, b binary")), "clusters")
+    clusters = components(posted, _merge(need))
+    discard(shared)
 
-    member = stash(clusters.join(classes.select(F.col("digest").alias("node"), "first", "n_shingles"), "node"), "members")
-    sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("n"))
-    member = split_join(member, stash(sizes, "sizes"), "root", hot_keys(member, "root"))
+    members = stash(clusters.join(classes.select(F.col("digest").alias("node"), "first", "n_shingles"), "node"), "members")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("n"))
+    member = split_join(members, sizes, "root", hot_keys(members, "root"))
     member = stash(member.select("root", F.col("node").alias("digest"), "n", F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_key")), "member")
     texts = docs.join(small_side(member, SMALL_ROWS), docs["doc_id"].eqNullSafe(member["own_id"]) & (docs["text_key"] == member["own_key"])).select("root", "digest", "n", "text")
     sets = stash(texts.mapInArrow(_sets(words), "root binary, digest binary, n int, shingles binary"), "sets")
-    sets = _blocks(sets, "n", "digest").select("root", "x", "y", "digest", "shingles").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
-    links = stash(components(sets.mapInArrow(_confirm(percent), "a binary, b binary")), "confirmed")
-
-    member = stash(links.withColumnRenamed("node", "digest").join(classes.select("digest", "first"), "digest"), "linked")
-    lowest = stash(member.groupBy("root").agg(F.min("first").alias("lowest")), "lowest")
-    member = split_join(member, lowest, "root", hot_keys(member, "root")).select("digest", "lowest")
-    named = stash(classes.select("digest", "first").join(member, "digest", "left").select("digest", F.coalesce("lowest", "first").alias("first")), "named")
+    blocks = _blocks(sets, "n", "digest").select("root", "x", "y", "digest", "shingles").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+    links = components(blocks, _confirm(percent))
+    for done in (members, member, sets):
+        discard(done)
+
+    linked = stash(links.withColumnRenamed("node", "digest").join(classes.select("digest", "first"), "digest"), "linked")
+    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
+    member = split_join(linked, lowest, "root", hot_keys(linked, "root")).select("digest", "lowest")
+    named = classes.select("digest", "first").join(member, "digest", "left").select("digest", F.coalesce("lowest", "first").alias("first"))
     slim = signed.select("doc_id", "text_key", "n_shingles", "digest")
-    held = split_join(slim.where("digest is not null"), named, "digest", hot_keys(signed.select("digest"), "digest"))
+    held = split_join(slim.where("digest is not null"), named, "digest", hot_keys(signed, "digest"))
     chosen = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key").eqNullSafe(F.col("first"))
     held = held.select("doc_id", "text_key", "n_shingles", F.col("first.doc_id").alias("component_id"), chosen.alias("chosen"))
     none = slim.where("digest is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen"))
@@ -296,8 +300,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     1. Each text is signed once: distinct shingles, a digest of the whole set, 128 minimum hashes. Rows with equal
        sets become one class, aggregated map-side.
     2. Inverted join: a pair needs so many matches of 128 (about 82 for 85 percent) that texts just that similar have
-       fewer with probability 1e-9 at most. Then one match at least lies among the first 128 - matches + 1 coordinates:
-       a class is posted under those coordinate-value pairs that another class has too. Lists longer than 1024 are cut
+       fewer with probability 1e-9 at most. A class is posted under its first coordinate-value pairs, 11 for 85 and 13
+       for 80 percent, that another class has too; texts just that similar share none of them with probability 1e-9
+       at most (0.15^11, 0.2^13). Lists longer than 1024 are cut
        into blocks and every pair of blocks is a task's work, so that no list meets whole in one task. A list counts
        collisions over a prefix of 64 coordinates first and skips pairs that can't reach the threshold any more. It
        returns a spanning forest of the rest, never all pairs.

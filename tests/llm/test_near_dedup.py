@@ -121,10 +121,11 @@ def test_words_and_shingles(odd_texts):
 
 @pytest.mark.parametrize("percent", [85, 80, 95, 50])
 def test_layout(percent):
-    """Fewer matches than asked for have a probability of 1e-9 at most, and enough matches always touch a post."""
+    """Fewer matches than asked for have a probability of 1e-9 at most, and so has sharing no post if matches don't rule it out."""
     need, p = near_dedup.Layout.of(percent), percent / 100
     below = sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(need.matches))
-    assert below <= 1e-9 and need.matches + need.posted == 129
+    assert below <= 1e-9 and (need.matches + need.posted == 129 or (1 - p) ** need.posted <= 1e-9)
+    assert near_dedup.Layout.of(85).posted == 11 and near_dedup.Layout.of(80).posted == 13
     assert need.prefix_matches == max(0, need.matches - 64)
 
 
