@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import hot_keys, split_join, stash
 
 #: Kind, pattern, group that holds the value, and characters that the value needs at least. Fixed values.
 KINDS = [
@@ -19,8 +19,8 @@ KINDS = [
 _HINTS = {"assign": KINDS[0][1], "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}"}
 #: The method's own kind: long tokens of mixed characters. They are secrets only if ownership says so.
 GENERIC = r"([A-Za-z0-9+/_=-]{20,})"
-#: A value that more owners than this have is a copied example.
-MAX_OWNERS = 2
+#: A value that more owners, or more repositories, than this have is a copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 3
 #: Values that contain one of these words, or have fewer different characters, don't look live.
 _PLACEHOLDER, DISTINCT = r"(?i)example|changeme|placeholder|your_|dummy|sample|xxxx", 8
 
@@ -75,17 +75,18 @@ def _candidate(s: Column, own: Column) -> Column:
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.sha2(s["value"], 256).alias("hash"), _live_looking(s["value"]).alias("live_looking"), own.alias("base"))
 
 
-def secret_spans(docs: DataFrame, repository: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def secret_spans(docs: DataFrame, repository: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Each document's secrets and what the corpus says about them.
 
     docs: doc_id long, text string, and what repository and owner read (by default source/lang and source); other
     columns are ignored. Returns one row for each input row: doc_id, text_key (xxhash64 of the text), and spans, an
-    array of struct<start, end, kind, base, verdict> in order of start and kind.
+    array of struct<start, end, kind, base, verdict, n_owners, n_repositories> in order of start and kind.
 
     Candidates are the base kinds' values and long tokens of mixed characters. Only their hashes leave the scan: they
     are aggregated by repository and owner (distinct triples first, so that a value in a third of all rows is a few
-    rows after the map side), and a value that more than max_owners owners have is "copied". One that few owners have
-    is "live" if it looks it, else "unlikely". Base spans are always returned; long tokens only when they are live and
+    rows after the map side), and a value that more than max_owners owners or more than max_repositories repositories
+    have is "copied". One that is specific to few is "live" if it looks it, else "unlikely". A value in very many rows is
+    joined with its counts in parts. Base spans are always returned; long tokens only when they are live and
     outside of base spans. Documents without candidates take no part in any shuffle but the last join.
 
     Null texts count as empty. Null repositories and owners count as one of their own. Null doc_ids and repeated rows
@@ -106,8 +107,8 @@ def secret_spans(docs: DataFrame, repository: Column | None = None, owner: Colum
     candidates = rows.select("row", "repository", "owner", F.explode(F.concat("base", "generic")).alias("c")).select("row", "repository", "owner", "c.*")
     owned = candidates.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     owned = owned.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"))
-    verdict = F.when(F.col("n_owners") > max_owners, "copied").when(F.col("live_looking"), "live").otherwise("unlikely")
-    judged = candidates.join(owned, "hash").withColumn("verdict", verdict).where("base or verdict = 'live'")
+    verdict = F.when((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories), "copied").when(F.col("live_looking"), "live").otherwise("unlikely")
+    judged = split_join(candidates, owned, "hash", hot_keys(candidates, "hash")).withColumn("verdict", verdict).where("base or verdict = 'live'")
     place = F.array_position(F.array(*(F.lit(k[0]) for k in KINDS), F.lit("generic")), F.col("kind"))
     judged = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", place.alias("place"), "end", "kind", "base", "verdict", "n_owners", "n_repositories"))).alias("spans"))
     spans = F.transform(F.coalesce("spans", F.array().cast(judged.schema["spans"].dataType)), lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "kind", "base", "verdict", "n_owners", "n_repositories"))))
@@ -119,14 +120,16 @@ def written(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, the number of base spans of each kind, their digest, all spans, and the verdicts' counts."""
+    """doc_id, the number of base spans of each kind, their digest, all spans, the verdicts' counts, and the most owners
+    and repositories that a span's value has (0 without spans)."""
     base = F.filter("spans", lambda s: s["base"])
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
     of_kind = lambda k: lambda s: s["base"] & (s["kind"] == k)
     of_verdict = lambda v: lambda s: s["verdict"] == v
     kinds = [count(of_kind(k)).alias(f"n_{k}") for k, *_ in KINDS]
     verdicts = [count(of_verdict(v)).alias(f"n_{v}") for v in ("live", "copied")]
-    return found.select("doc_id", *kinds, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *verdicts)
+    most = [F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0)).cast("long").alias(f"most_{c[2:]}") for c in ("n_owners", "n_repositories")]  # noqa: B023  used at once
+    return found.select("doc_id", *kinds, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *verdicts, *most)
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import pii, queries, secrets
+from quillspark.llm import common, pii, queries, secrets
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -64,6 +64,16 @@ def test_ownership(make):
     assert [(s["kind"], s["verdict"]) for s in rows[5]["spans"]] == [("generic", "live"), ("assign", "live")]
 
 
+def test_repositories_decide(make, monkeypatch):
+    """One owner's value in four repositories is copied, in three it is live; hot values are joined in parts."""
+    monkeypatch.setattr(common, "PART_ROWS", 2)
+    for n, verdict in ((3, "live"), (4, "copied")):
+        df = make(["token=abQ9x7Lm2k"] * 12).withColumn("source", F.lit("one")).withColumn("lang", (F.col("doc_id") % n).cast("string"))
+        found = secrets.secret_spans(df)
+        assert [[(s["verdict"], s["n_owners"], s["n_repositories"]) for s in r["spans"]] for r in found.collect()] == [[(verdict, 1, n)]] * 12
+        assert {(r["most_owners"], r["most_repositories"]) for r in secrets.digest(found).collect()} == {(1, n)}
+
+
 def test_redaction(make):
     df = make(["🙂 a token=abQ9x7Lm2k, token=zzQ9x7Lm2k end", "clean", None] + ["x password=hunter2hunter9 y"] * 5)
     out = {r["doc_id"]: r["text"] for r in secrets.redact(df, secrets.secret_spans(df)).collect()}
