@@ -36,13 +36,13 @@ def _tokens(text: Column) -> Column:
 
 
 def _expression(pattern: Column) -> Column:
-    """The regular expression of a pattern."""
-    out = F.regexp_replace(pattern, r"([.+?$(){}\[\]\\])", r"\\$1")
+    """The regular expression of a pattern; bars count as anchors at its ends only."""
+    body = F.regexp_replace(F.regexp_replace(pattern, r"\A\|{1,2}", ""), r"\|\z", "")
+    out = F.regexp_replace(body, r"([.+?$(){}\[\]\\|])", r"\\$1")
     out = F.regexp_replace(out, r"\*", ".*")
     out = F.regexp_replace(out, r"\^", "(?:[^a-z0-9_.%-]|\\$)")
-    out = F.regexp_replace(out, r"\A\|\|", "^[a-z][a-z0-9+.-]*://(?:[^/?#]*\\.)?")
-    out = F.regexp_replace(out, r"\A\|", "^")
-    return F.regexp_replace(out, r"\|\z", "\\$")
+    begins = F.when(pattern.startswith("||"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?").when(pattern.startswith("|"), "^").otherwise("")
+    return F.concat(begins, out, F.when(pattern.rlike(r"(?s).\|\z") & (F.length(pattern) > 2), "$").otherwise(""))
 
 
 def _literals(pattern: Column) -> Column:
@@ -54,8 +54,11 @@ def _host_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """For each distinct url that some host rule fits: the longest such rule (ties: the longer host)."""
     rule = rules.select(F.col("verdict").alias("rule_verdict"), F.col("rule"), lower_ascii(F.substring_index("rule", "/", 1)).alias("suffix"))
     rule = rule.withColumn("prefix", F.expr("substring(rule, length(suffix) + 1)"))
-    labels = F.split("host", r"\.", -1)
-    suffixes = urls.where("host <> ''").select("url_key", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix"))
+    # No rule's host has more labels than this: a host's longer suffixes aren't made.
+    depth = rule.agg(F.max(F.size(F.split("suffix", r"\.", -1)))).first()[0] or 1
+    labels = F.slice(F.split("host", r"\.", -1), F.greatest(F.size(F.split("host", r"\.", -1)) - depth, F.lit(0)) + 1, F.lit(depth))
+    suffixes = urls.where("host <> ''").select("url_key", "path", labels.alias("labels"))
+    suffixes = suffixes.select("url_key", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))).alias("suffix"))
     fits = suffixes.join(small_side(rule, SMALL_ROWS), "suffix").where("startswith(path, prefix)")
     best = F.max(F.struct(F.length("rule").alias("size"), F.length("suffix").alias("host_size"), "rule", "rule_verdict")).alias("best")
     return fits.groupBy("url_key").agg(best).select("url_key", "best.rule", "best.rule_verdict")
@@ -64,18 +67,25 @@ def _host_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def _pattern_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """For each url that some pattern rule matches: block, or allow if an allow rule matches too.
 
-    Every rule is posted under the one of its literal tokens that the fewest urls hold, and a rule without one under an
-    empty token that all urls have. A url's tokens fetch its candidates; regular expressions run on those alone.
+    Every rule is posted under the one of its literal tokens that the fewest urls hold. A url's tokens fetch its
+    candidates; regular expressions run on those alone. A rule without a literal token is a candidate for every url:
+    such rules meet the urls in parts, dealt by a hash, so that no token's urls meet in one task.
     """
-    tokens = urls.select("url_key", F.explode(F.array_append(_tokens(F.col("lowered")), F.lit(""))).alias("token"), "lowered")
+    tokens = urls.select("url_key", F.explode(_tokens(F.col("lowered"))).alias("token"), "lowered")
     rules = rules.select(F.col("verdict").alias("rule_verdict"), lower_ascii(F.col("pattern")).alias("pattern")).distinct()
     literal = _literals(F.col("pattern"))
-    wanted = rules.select("pattern", F.explode(F.when(F.size(literal) > 0, literal).otherwise(F.array(F.lit("")))).alias("token"))
+    wanted = rules.select("pattern", F.explode(literal).alias("token"))
     held = stash(wanted.select("token").distinct(), "rule-tokens")
     seen = tokens.join(small_side(held, SMALL_ROWS), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(seen, "token", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r")).select("pattern", F.col("r.token").alias("token"))
     posted = stash(rules.join(rarest, "pattern").select("token", "rule_verdict", _expression(F.col("pattern")).alias("expression")), "posted-rules")
     hits = tokens.join(small_side(posted, SMALL_ROWS), "token").where(F.regexp("lowered", F.col("expression")))
+    bare = stash(rules.where(F.size(literal) == 0).select("rule_verdict", _expression(F.col("pattern")).alias("expression")), "bare-rules")
+    if bare.limit(1).count():
+        parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = bare.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        of = urls.select("url_key", "lowered", F.pmod(F.xxhash64("url_key"), F.lit(parts)).cast("int").alias("part"))
+        hits = hits.select("url_key", "rule_verdict").union(of.join(each, "part").where(F.regexp("lowered", F.col("expression"))).select("url_key", "rule_verdict"))
     return hits.groupBy("url_key").agg(F.min("rule_verdict").alias("pattern_verdict"))  # allow < block
 
 

@@ -66,6 +66,29 @@ URLS = [
 ]
 
 
+def test_many_pattern_rules(spark):
+    """Thousands of rules over generated urls, against every rule on every url; bars inside, anchors, no literal at all."""
+    import random
+
+    r = random.Random(12)
+    words = [f"{a}{b}" for a in ("ad", "promo", "shop", "news", "img", "cdn") for b in range(40)]
+    urls = [f"http://{r.choice(words)}.{r.choice(words)}.org/{r.choice(words)}/{r.choice(words)}{r.choice(['', '?x|y', '.html', '/'])}" for _ in range(300)] + ["http://" + "a." * 3000 + "org/x", "http://x.org/q|r"]
+    shapes = ["||{}.", "|http://{}.", "/{}^", "/{}/*/{}^", "{}.html|", ".{}.org^", "/{}?x|y|", "/{}|"]
+    rules = [(r.choice(["block", "allow", "block"]), r.choice(shapes).replace("{}", r.choice(words), 1).replace("{}", r.choice(words))) for _ in range(3000)] + [("block", "q|r"), ("allow", "*promo1*|")]
+
+    def expression(p):
+        begin = "^[a-z][a-z0-9+.-]*://(?:[^/?#]*\\.)?" if p.startswith("||") else "^" if p.startswith("|") else ""
+        end = r"\Z" if p.endswith("|") else ""
+        body = p.lstrip("|") if begin else p
+        return re.compile(begin + re.escape(body[:-1] if end else body).replace(r"\*", ".*").replace(r"\^", r"(?:[^a-z0-9_.%-]|\Z)") + end)
+
+    compiled = [(v, expression(p)) for v, p in rules]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {row["page_id"]: row["verdict"] for row in url_filter.url_verdicts(df, spark.createDataFrame([("block", "none.example/")], "verdict string, rule string"), spark.createDataFrame(rules, "verdict string, pattern string")).collect()}
+    want = {i: min([v for v, e in compiled if e.search(u)], default="allow") for i, u in enumerate(urls)}
+    assert got == want and len(set(want.values())) == 2
+
+
 def test_urls(spark):
     df = spark.createDataFrame([(i, u) for i, u, _, _ in URLS], "page_id long, url string").withColumn("token", F.lit("clash")).withColumn("host", F.lit("clash"))
     hosts, patterns = spark.createDataFrame(url_filter.HOST_RULES, "verdict string, rule string"), spark.createDataFrame(url_filter.PATTERN_RULES, "verdict string, pattern string")
