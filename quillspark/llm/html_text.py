@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, small_side, stash
+from .common import discard, release, ship, small_side, stash
 from .url_filter import parts
 
 #: Elements whose content is never text, that hold the main text, that hold none of it, that break blocks, and that
@@ -29,7 +29,7 @@ _SPACE = re.compile(r"\s+")
 #: Elements that an opening tag closes if they are open: the end tags of paragraphs and list items may be left out.
 _IMPLIED = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 MAIN, OPEN, ASIDE = 2, 1, 0
-#: Rows of a side that may be broadcast, and lines of a page that a page difference holds at once.
+#: Rows of a side that may be broadcast.
 SMALL_ROWS = 200_000
 
 
@@ -89,13 +89,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def main_text(found: list[tuple[int, str]], drop: frozenset[int] = frozenset()) -> str:
-    """The MAIN blocks, or on pages without any the OPEN ones but for those that page differencing drops."""
-    if any(r == MAIN for r, _ in found):
-        kept = [t for r, t in found if r == MAIN]
-    else:
-        kept = [t for i, (r, t) in enumerate(found) if r == OPEN and i not in drop]
-    return "\n\n".join(kept)
+def main_text(found: list[tuple[int, str]], shared: frozenset[int] = frozenset()) -> str:
+    """Page differencing with structure as its guard: shared lines go, but not those of an article (MAIN), and what is
+    marked as something else (ASIDE) goes though it isn't shared. Beside an article, unmarked lines (OPEN) go too."""
+    article = any(r == MAIN for r, _ in found)
+    return "\n\n".join(t for i, (r, t) in enumerate(found) if r == MAIN or r == OPEN and not article and i not in shared)
 
 
 def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,11 +119,18 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of longest common subsequences of a with each prefix of b."""
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
-    return row
+    """Lengths of longest common subsequences of a with each prefix of b; one big number holds a row of the table, so
+    that a step costs len(b) / 64 words."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(b.tolist()):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a.tolist():
+        hit = row & at.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
 
 
 def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,16 +144,13 @@ def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of pages to the hashes of their lines outside of ASIDE, and whether they have MAIN blocks."""
+    """Keys of pages to the hashes of their lines."""
     import xxhash
 
     for batch in batches:
-        lines, has_main = [], []
-        for page in batch.column(3):
-            found = blocks(page.as_py() or "")
-            has_main.append(any(r == MAIN for r, _ in found))
-            lines.append(np.array([xxhash.xxh64_intdigest(t) if r != ASIDE else 0 for r, t in found], np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(has_main, pa.bool_()), pa.array(lines, pa.list_(pa.int64()))], names=["host", "path", "page_key", "has_main", "lines"])
+        lines = [np.array([xxhash.xxh64_intdigest(t) for _, t in blocks(page.as_py() or "")], np.uint64).view(np.int64) for page in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lines, pa.list_(pa.int64()))], names=["host", "path", "page_key", "lines"])
+    release()
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +165,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             same = lambda p: next((i for i, (x, y) in enumerate(zip(path, p, strict=False)) if x != y), min(len(path), len(p)))
             partner = max(near, key=lambda n: same(n["path"]))
-            index = np.flatnonzero(own)
-            other = np.array(partner["lines"], np.int64)
-            shared.append(index[common_lines(own[index], other[other != 0])].tolist())
+            shared.append(common_lines(own, np.array(partner["lines"], np.int64)).tolist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.list_(pa.int64()))], names=["page_key", "shared"])
 
 
@@ -187,36 +187,41 @@ def _neighbours(outlines: DataFrame) -> DataFrame:
     for side in ("before", "after"):
         rows = rows.withColumn(side, F.coalesce(side, f"outer_{side}"))
         rows = rows.withColumn(side, F.when(F.col(f"{side}.host") == F.col("host"), F.struct(f"{side}.path", f"{side}.lines")))
-    return rows.select("page_key", "path", "lines", "before", "after", "has_main")
+    return rows.select("page_key", "path", "lines", "before", "after")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(blocks(page.as_py() or ""), frozenset(drop.as_py() or ())) for page, drop in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        texts, shared = [], []
+        for page, lines in zip(batch.column(2), batch.column(3), strict=True):
+            lines = frozenset(lines.as_py() or ())
+            texts.append(main_text(blocks(page.as_py() or ""), lines))
+            shared.append(len(lines))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(shared, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared"])
+    release()
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """The main text of every page.
 
     pages: page_id long, url string, html string; other columns are ignored. Returns page_id, url, text, n_chars (code
-    points). A page becomes blocks; elements and class names that stand for menus, notices, adverts, forms, comments
-    and the like are taken out. What stands in article or main elements is the text. Pages without them keep their
-    unmarked blocks but for those that the nearest page shares: pages are put in the order of their paths within each
-    host, the neighbour with the longer common path is the partner (ties: the one before), and blocks on a longest
-    common subsequence of both pages' lines are deleted. An article's own blocks are never deleted, for neighbouring
-    pages may quote each other.
-
-    Lines are compared by 64-bit hashes; only these are ordered and joined, and only pages without an article are
-    looked up again. Null html is empty, null urls form a host of their own, null page_ids and repeated rows are
-    returned as they are. A page without partner loses nothing.
+    points), n_shared. Every page becomes lines (blocks of text), pages are put in the order of their paths within each
+    host, and the neighbour with the longer common path is the partner (ties: the one before). n_shared lines are on a
+    longest common subsequence of both pages' lines: those are deleted, unless an article or main element holds them,
+    for neighbouring articles may quote each other. Elements and class names that stand for menus, notices, adverts,
+    forms, comments and the like are taken out whether they are shared or not, and so is what stands beside an article.
+
+    Lines are compared by 64-bit hashes; they are written once, and only they are ordered and joined. Null html is
+    empty, null urls form a host of their own, null page_ids and repeated rows are returned as they are. A page without
+    partner shares nothing.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     key = F.xxhash64("page_id", "url", "html")
     host, path = parts(F.col("url"))
-    outlines = rows.select(host.alias("host"), path.alias("path"), key.alias("page_key"), "html").mapInArrow(_outline, "host string, path string, page_key long, has_main boolean, lines array<long>")
-    near = _neighbours(outlines).where("not has_main").select("page_key", "path", "lines", "before", "after")
-    drops = stash(near.mapInArrow(_difference, "page_key long, shared array<long>").where(F.size("shared") > 0).groupBy("page_key").agg(F.min("shared").alias("shared")), "drops")
-    joined = rows.withColumn("page_key", key).join(small_side(drops, SMALL_ROWS), "page_key", "left").select("page_id", "url", "html", "shared")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    outlines = stash(rows.select(host.alias("host"), path.alias("path"), key.alias("page_key"), "html").mapInArrow(_outline, "host string, path string, page_key long, lines array<long>"), "outlines")
+    near = _neighbours(outlines)
+    shared = stash(near.mapInArrow(_difference, "page_key long, shared array<long>").where(F.size("shared") > 0).groupBy("page_key").agg(F.min("shared").alias("shared")), "shared")
+    discard(outlines)
+    joined = rows.withColumn("page_key", key).join(small_side(shared, SMALL_ROWS), "page_key", "left").select("page_id", "url", "html", "shared")
+    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_shared long")

@@ -1,6 +1,7 @@
 """Nearest neighbours, URL filters, page text, quality trees and the pipeline."""
 
 import itertools
+import os
 import re
 
 import numpy as np
@@ -49,8 +50,9 @@ def test_search_odd_rows(spark):
 
 
 def test_beam_is_no_worse_than_greedy():
-    x = np.random.default_rng(0).normal(size=(600, 16))
-    books = additive_ann.fit(x, words=32)
+    """On vectors that the books weren't fitted on: on their own, books follow greedy codes down to nothing."""
+    r = np.random.default_rng(0)
+    books, x = additive_ann.fit(r.normal(size=(600, 16)), words=32), r.normal(size=(600, 16))
     loss = [((x - sum(books.books[m][codes[:, m]] for m in range(len(books.books)))) ** 2).sum() for codes, _ in (books.encode(x, 1), books.encode(x, 8))]
     assert loss[1] < loss[0]
     codes, norms = books.encode(x, 4)
@@ -112,6 +114,56 @@ def test_rules_without_tokens_and_rarest_token(spark):
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></ul></nav><!-- ad --><div class="ad">buy</div><article><h1>Head &amp; line</h1><p><b>One\n two<br><p>Three&nbsp;four &lt;b&gt; &#233;</p><ul><li>a<li>b</ul><div class="share-buttons"><p>share</p></div></article><section id="comments"><p>me too</p></section><footer>&copy; x</footer></body></html>'
 
 
+def brute_shared(pages):
+    """For each page the lines that a plain longest common subsequence with its nearest neighbour finds, and their number."""
+    host = lambda u: (re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "") or [None, "", ""])
+    order = sorted((host(u)[1].lower(), host(u)[2], i) for i, (u, _) in enumerate(pages))
+    lines = [[t for _, t in html_text.blocks(h or "")] for _, h in pages]
+    out = {}
+    for k, (name, path, i) in enumerate(order):
+        near = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j][0] == name]
+        same = lambda p: len(os.path.commonprefix([path, p]))  # noqa: E731, B023
+        if not near:
+            out[i] = 0
+            continue
+        a, b = lines[i], lines[max(near, key=lambda n: same(n[1]))[2]]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        out[i] = row[-1]
+    return out
+
+
+def test_every_page_is_differenced(spark):
+    """Pairing and alignment of whole tables against plain code; deletion follows them on pages without an article."""
+    pages = queries.table(spark, "/root/testdata/sf0.01", "pages").orderBy("page_id").collect()
+    found = html_text.extract(queries.table(spark, "/root/testdata/sf0.01", "pages"))
+    want = brute_shared([(r["url"], r["html"]) for r in pages])
+    assert {r["page_id"]: r["n_shared"] for r in found.collect()} == {r["page_id"]: want[i] for i, r in enumerate(pages)} and sum(want.values()) > 0
+    # The same pages without their markup for articles: what neighbours share goes, and nothing else.
+    bare = [(r["page_id"], r["url"], re.sub(r"</?article>|<nav>.*?</nav>|<footer>.*?</footer>|<div class=\"ad\">.*?</div>", "", r["html"])) for r in pages]
+    rows = html_text.extract(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()
+    want = brute_shared([(u, h) for _, u, h in bare])
+    lines = {i: len(found) for i, _, h in bare if all(region == html_text.OPEN for region, _ in (found := html_text.blocks(h)))}
+    assert {r["page_id"]: r["n_shared"] for r in rows} == {i: want[k] for k, (i, _, _) in enumerate(bare)} and any(r["n_shared"] for r in rows)
+    rows = [r for r in rows if r["page_id"] in lines]
+    assert any(r["n_shared"] for r in rows) and all(len(r["text"].split("\n\n")) == lines[r["page_id"]] - r["n_shared"] for r in rows if lines[r["page_id"]] > r["n_shared"])
+
+
+def test_long_pages_align():
+    """Tens of thousands of lines, many repeated: as long as a plain count says."""
+    r = np.random.default_rng(4)
+    a, b = r.integers(0, 400, 6000), r.integers(0, 400, 5000)
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    at = html_text.common_lines(a, b)
+    assert len(at) == row[-1] and (np.diff(at) > 0).all()
+    assert len(html_text.common_lines(np.arange(40_000), np.arange(40_000)[::-1].copy())) == 1
+
+
 def test_blocks():
     assert html_text.main_text(html_text.blocks(PAGE)) == "Head & line\n\nOne two\n\nThree four <b> é\n\na\n\nb"
     for page in ("", "text only", "<p>a<p>b", "<", "<p", "<a href='x>y'>z</a> <!-- open", "<script>never closed", "<P CLASS=ad>x</P>y", "</div></article>x"):
