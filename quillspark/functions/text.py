@@ -67,6 +67,12 @@ CONDITIONS = {
 ABBREVIATIONS = FREQUENCY | FORMS | ROUTES | CONDITIONS
 
 
+#: White space of Unicode but for the plain space, as a class of Java's expressions.
+_OTHER_SPACE = r"\x{9}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: White space that isn't one plain space already.
+_LOOSE = f"[ {_OTHER_SPACE}]{{2,}}|[{_OTHER_SPACE}]"
+
+
 def _composed(text: Column, form: str, ascii_only: bool) -> Column:
     """text in a normal form; ASCII is its own. ascii_only promises ASCII and keeps Python out of the plan."""
     if ascii_only:
@@ -79,7 +85,8 @@ def _composed(text: Column, form: str, ascii_only: bool) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Each run of white space, of any script, as one space; none at the ends."""
+    return F.trim(F.regexp_replace(text, _LOOSE, " "))
 
 
 def _present(value: Column) -> Column:
@@ -89,8 +96,8 @@ def _present(value: Column) -> Column:
 
 def normalize_text(value: Column, ascii_only: bool = False) -> Column:
     """Lower case; letters, digits and % . / + space - only; single spaces. Null and "nan" are empty."""
-    text = F.lower(collapse(F.regexp_replace(_composed(_present(value), "NFKC", ascii_only), " ", " ")))
-    return collapse(F.regexp_replace(text, r"[^a-z0-9%./+ -]+", ""))
+    text = F.lower(collapse(_composed(_present(value), "NFKC", ascii_only)))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9%./+ -]+", ""), " {2,}", " "))
 
 
 def display_text(value: Column, ascii_only: bool = False) -> Column:

@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
+from ..tables import is_small, small_side, written
 
-
-#: Distinct texts of a block's part.
-BLOCK = 4096
+#: Distinct texts of a block's part, and query vectors of a block.
+BLOCK, QUERY_BLOCK = 4096, 1024
 
 
 def ranked(hits: DataFrame, branch: str, limit: int | None) -> DataFrame:
@@ -67,30 +67,55 @@ def blocked_fuzzy(mentions: DataFrame, catalog: DataFrame, score: Column, thresh
     return ranked(hits, "fuzzy", limit)
 
 
+def normalized(df: DataFrame, key: str, column: str, ascii_only: bool = False) -> DataFrame:
+    """(key, t): normalized texts, written once, for the branches that read them several times. A frame that has t
+    already is taken as it is. Tables of a few files are dealt to all cores first."""
+    if "t" in df.columns:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
+    return written(df.select(key, text.normalize_text(F.col(column), ascii_only).alias("t")), "normalized")
+
+
 def _holds(big: DataFrame, small: DataFrame) -> DataFrame:
-    """Pairs (big_id, small_id) with small's text inside big's.
+    """Pairs (big_id, small_id) with small's text inside big's; both are normalized.
 
-    Big texts are posted under their three-character pieces and single characters; a small text asks with the rarest
-    of its own pieces only, and what comes back is compared.
+    Words of a small text but its first and last are whole words of each text that holds it. A small text asks with the
+    rarest of them; without any it asks with its rarest three characters, or its first one, and only then big texts are
+    posted under these too. Words are filtered by what is asked for while big is scanned.
     """
     pieces = lambda t: F.regexp_extract_all(t, F.lit("(?s)(?=(.{3}))"), F.lit(1))
-    # One row each: texts longer than every big one, or shorter than every small one, can't take part.
-    small = small.join(F.broadcast(big.agg(F.max(F.length("big")).alias("longest"))), F.length("small") <= F.col("longest"))
-    big = big.join(F.broadcast(small.agg(F.min(F.length("small")).alias("shortest"))), F.length("big") >= F.col("shortest"))
-    posted = big.select("big_id", F.explode(F.array_distinct(F.concat(pieces(F.col("big")), F.split("big", "")))).alias("piece"))
-    asks = small.select("small_id", F.explode(F.array_distinct(F.when(F.length("small") >= 3, pieces(F.col("small"))).otherwise(F.array(F.substring("small", 1, 1))))).alias("piece"))
-    held = posted.join(asks.select("piece").distinct(), "piece", "left_semi").groupBy("piece").count()
-    rarest = asks.join(held, "piece", "left").groupBy("small_id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "piece")).alias("r")).select("small_id", F.col("r.piece").alias("piece"))
-    # Postings are ids and pieces; texts come back for what is left.
-    pairs = posted.join(rarest, "piece").select("big_id", "small_id")
+    marked = lambda kind, a: F.transform(F.array_distinct(a), lambda w: F.concat(F.lit(kind), w))
+    ends = big.agg(F.max(F.length("big"))).first()[0] or 0
+    words = F.split("small", " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    keys = F.when(F.size(inner) > 0, marked("w", inner)).when(F.length("small") >= 3, marked("t", pieces(F.col("small")))).otherwise(marked("c", F.array(F.substring("small", 1, 1))))
+    small = written(small.where(F.length("small") <= ends).withColumn("keys", keys), "small")
+    bounds = small.agg(F.min(F.length("small")).alias("least"), F.max(F.size(inner) == 0).alias("short")).first()
+    if bounds["least"] is None:
+        return big.select("big_id").join(small.select("small_id").limit(0))
+    has = marked("w", F.split("big", " "))
+    if bounds["short"]:
+        has = F.concat(has, marked("t", pieces(F.col("big"))), marked("c", F.split("big", "")))
+    posted = big.where(F.length("big") >= bounds["least"]).select("big_id", "big", F.explode(has).alias("piece"))
+    asks = small.select("small_id", "small", F.explode("keys").alias("piece"))
+    held = posted.join(small_side(written(asks.select("piece").distinct(), "pieces")), "piece", "left_semi").groupBy("piece").count()
+    # A piece that no big text has ends the search for its text: the inner join drops it, as the rarest of all.
+    count = asks.select("small_id", "piece").join(held, "piece", "left").select("small_id", "piece", F.coalesce("count", F.lit(0)).alias("n"))
+    rarest = count.groupBy("small_id").agg(F.min(F.struct("n", "piece")).alias("r")).where("r.n > 0").select("small_id", F.col("r.piece").alias("piece"))
+    rarest = written(rarest.join(small.select("small_id", "small"), "small_id"), "asks")
+    if is_small(rarest):
+        return posted.join(F.broadcast(rarest), "piece").where(F.col("big").contains(F.col("small"))).select("big_id", "small_id")
+    # Else postings go as ids and pieces, and texts come back for what is left.
+    pairs = posted.select("big_id", "piece").join(rarest.select("small_id", "piece"), "piece").select("big_id", "small_id")
     return pairs.join(big.select("big_id", "big"), "big_id").join(small.select("small_id", "small"), "small_id").where(F.col("big").contains(F.col("small"))).select("big_id", "small_id")
 
 
 def contained(mentions: DataFrame, catalog: DataFrame, ascii_only: bool = False) -> DataFrame:
     """All names that contain a mention's text, or are contained in it, both normalized; fusion is what limits them."""
-    norm = lambda c: text.normalize_text(F.col(c), ascii_only)
-    asked = mentions.select("mention_id", norm("text").alias("t")).where("t <> ''")
-    names = catalog.select("candidate_id", norm("name").alias("t")).where("t <> ''")
+    asked = normalized(mentions, "mention_id", "text", ascii_only).where("t <> ''")
+    names = normalized(catalog, "candidate_id", "name", ascii_only).where("t <> ''")
     as_big = lambda df, key: df.select(F.col(key).alias("big_id"), F.col("t").alias("big"))
     as_small = lambda df, key: df.select(F.col(key).alias("small_id"), F.col("t").alias("small"))
     inside = _holds(as_big(names, "candidate_id"), as_small(asked, "mention_id")).select(F.col("small_id").alias("mention_id"), F.col("big_id").alias("candidate_id"))
@@ -108,29 +133,39 @@ def corpus_statistics(terms: DataFrame) -> DataFrame:
 def bm25(mentions: DataFrame, catalog: DataFrame, limit: int = 25, k1: float = 1.5, b: float = 0.75, ascii_only: bool = False) -> DataFrame:
     """Okapi BM25. Repeated query terms count as often as they occur.
 
-    The corpus is exploded once; only postings of query terms are scored. Corpus size and mean length are one row.
+    Texts are normalized once, and words that no mention has go before anything is shuffled. Postings (a document's id,
+    length, term and its count) are written, dealt by document, so that a document's weights are summed where they are
+    read. Corpus size and mean length are one row.
     """
-    terms = catalog.select("candidate_id", F.explode(text.tokens(F.col("name"), ascii_only)).alias("term"))
-    length = catalog.select("candidate_id", F.greatest(F.size(text.tokens(F.col("name"), ascii_only)), F.lit(1)).alias("length"))
-    total = length.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    asked = mentions.select("mention_id", F.explode(text.tokens(F.col("text"), ascii_only)).alias("term")).groupBy("mention_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "candidate_id").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = postings.join(df, "term").join(length, "candidate_id").join(F.broadcast(total))
+    words = F.filter(F.split("t", "[^a-z0-9]+"), lambda w: F.length(w) > 1)
+    names = normalized(catalog, "candidate_id", "name", ascii_only).select("candidate_id", words.alias("words"))
+    length = F.greatest(F.size("words"), F.lit(1))
+    total = names.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean_length"))
+    asked = written(normalized(mentions, "mention_id", "text", ascii_only).select("mention_id", F.explode(words).alias("term")).groupBy("mention_id", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
+    terms = written(asked.select("term").distinct(), "terms")
+    rows = names.select("candidate_id", length.alias("length"), F.explode("words").alias("term")).join(small_side(terms), "term", "left_semi")
+    postings = written(rows.repartition("candidate_id").groupBy("candidate_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    df = written(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    hits = rows.withColumn("w", weight).join(asked, "term").groupBy("mention_id", "candidate_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    rows = postings.join(small_side(df), "term").join(F.broadcast(total)).select("candidate_id", "term", weight.alias("w"))
+    hits = rows.join(small_side(asked), "term").groupBy("mention_id", "candidate_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
     return ranked(hits, "bm25", limit)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, limit: int = 25) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, limit: int = 25, where: Column | None = None) -> DataFrame:
     """Inner products of query vectors (mention_id, vector) with all vectors (candidate_id, vector), best first.
 
-    A stated query set meets all rows; with queries few enough to broadcast, vectors are read once and not shuffled.
+    A stated query set meets all rows in blocks of queries. where: a condition on mention_id and candidate_id, for
+    callers whose ids are of one kind. Queries are broadcast if they are few; limits run before ranks are shuffled.
     """
-    product = F.aggregate(F.zip_with("q", "vector", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = queries.select("mention_id", F.col("vector").alias("q")).join(vectors, F.col("mention_id") != F.col("candidate_id"))
-    return ranked(pairs.select("mention_id", "candidate_id", product.alias("score")), "dense", limit)
+    queries = written(queries.select("mention_id", F.transform("vector", lambda x: x.cast("double")).alias("q")), "queries")
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = queries.withColumn("block", F.pmod(F.xxhash64("mention_id"), F.lit(n)).cast("int"))
+    rows = vectors.select("candidate_id", F.transform("vector", lambda x: x.cast("double")).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = rows.join(F.broadcast(blocks) if n == 1 else blocks, "block")
+    product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return ranked((pairs if where is None else pairs.where(where)).select("mention_id", "candidate_id", product.alias("score")), "dense", limit)
 
 
 def crosswalk(source: DataFrame, direct: DataFrame, names: DataFrame) -> DataFrame:
@@ -145,9 +180,10 @@ def crosswalk(source: DataFrame, direct: DataFrame, names: DataFrame) -> DataFra
 
 def per_distinct_text(mentions: DataFrame, branch) -> DataFrame:
     """Runs a branch once for each distinct text and gives its trace to every mention of that text."""
-    texts = mentions.select("text").distinct().withColumn("mention_id", F.xxhash64("text"))
+    texts = written(mentions.select("text").distinct().withColumn("mention_id", F.monotonically_increasing_id()), "texts")
     trace = branch(texts).withColumnRenamed("mention_id", "text_id")
-    return mentions.select("mention_id", F.xxhash64("text").alias("text_id")).join(trace, "text_id").drop("text_id")
+    of = texts.select(F.col("mention_id").alias("text_id"), F.col("text").alias("one"))
+    return mentions.join(of, mentions["text"].eqNullSafe(of["one"])).select("mention_id", "text_id").join(trace, "text_id").drop("text_id")
 
 
-__all__ = ["blocked_fuzzy", "bm25", "contained", "corpus_statistics", "crosswalk", "dense", "exact", "per_distinct_text", "ranked", "similarity"]
+__all__ = ["blocked_fuzzy", "bm25", "contained", "corpus_statistics", "crosswalk", "dense", "exact", "normalized", "per_distinct_text", "ranked", "similarity"]
