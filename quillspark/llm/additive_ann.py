@@ -18,7 +18,7 @@ FIT_ROWS = 16_384
 #: Codebooks, codewords of each, and partial codes that the beam keeps.
 BOOKS, WORDS, BEAM = 24, 256, 4
 #: Codes and queries of a block, and rows that are measured exactly for each query.
-ROW_BLOCK, QUERY_BLOCK, RERANK = 65_536, 4096, 512
+ROW_BLOCK, QUERY_BLOCK, RERANK = 65_536, 4096, 256
 
 
 @dataclass
@@ -45,9 +45,12 @@ class Codebooks:
                 loss = (left**2).sum(2)[:, :, None] - 2 * (left @ b.T) + (b**2).sum(1)
                 flat = loss.reshape(n, -1)
                 keep = min(beam, flat.shape[1])
-                best = np.argpartition(flat, keep - 1, 1)[:, :keep]
-                was, word = best // k, best % k
                 row = np.arange(n)[:, None]
+                best = np.empty((n, keep), np.int64)
+                for j in range(keep):  # a few passes for minima are cheaper than a partition
+                    best[:, j] = flat.argmin(1)
+                    flat[row[:, 0], best[:, j]] = np.inf
+                was, word = best // k, best % k
                 left = left[row, was] - b[word]
                 path = np.concatenate([path[row, was], word[:, :, None].astype(np.uint8)], 2)
             best = (left**2).sum(2).argmin(1)
@@ -61,7 +64,7 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 4,
     """Codebooks by k-means on what earlier books leave over."""
     r = np.random.default_rng(seed)
     words = max(1, min(words, len(x) // 4))
-    left, out = x.astype(np.float64), []
+    left, out = x.astype(np.float32), []
     for _ in range(books):
         c = left[r.choice(len(left), words, replace=len(left) < words)] + 0.0
         for _ in range(rounds):
@@ -73,7 +76,7 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 4,
         near = np.argmin((c**2).sum(1) - 2 * left @ c.T, 1)
         left = left - c[near]
         out.append(c)
-    return Codebooks(np.stack(out))
+    return Codebooks(np.stack(out).astype(np.float64))
 
 
 def _vectors(column: pa.Array, size: int) -> np.ndarray:
