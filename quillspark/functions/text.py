@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -164,3 +164,15 @@ def repair_json(value: Column) -> Column:
 def stable_id(prefix: str, *parts: Column, length: int = 20) -> Column:
     raw = F.concat_ws("||", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(raw, 256), 1, length))
+
+
+def normalized_fields(df: DataFrame) -> DataFrame:
+    """df with a normalized_* column for each raw_* text column: abbreviations written out."""
+    raw = [c for c, t in df.dtypes if c.startswith("raw_") and t == "string"]
+    return df.withColumns({c.replace("raw_", "normalized_", 1): expand_abbreviations(F.col(c)) for c in raw})
+
+
+def normalized_items(items: Column, fields: list[str]) -> Column:
+    """The same for an array of structs: each with its fields, and the raw ones written out."""
+    new = lambda x: [expand_abbreviations(x[f]).alias(f.replace("raw_", "normalized_", 1)) for f in fields if f.startswith("raw_")]
+    return F.transform(items, lambda x: F.struct(*(x[f].alias(f) for f in fields), *new(x)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -118,5 +118,45 @@ def engine_runs(documents: DataFrame, engines: dict[str, object], schema: str =
 
 def latest(states: DataFrame, key: str, time: str) -> DataFrame:
     """The last state of each key."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time)))
-    return states.withColumn("_n", nth).where("_n = 1").drop("_n")
+    return states.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*states.columns), time).alias("_row")).select("_row.*")
+
+
+def records_and_failures(documents: DataFrame, records: Column, components) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (document, text) taken apart: their records, the records' components, and the documents that gave none.
+
+    records: a column with an array of texts; components: a function from a text column to an array of texts.
+    """
+    rows = documents.select("document", records.alias("_records"))
+    found = rows.select("document", F.posexplode("_records").alias("position", "record"))
+    parts = found.select("document", "position", F.posexplode(components(F.col("record"))).alias("component_order", "component"))
+    failed = rows.where(F.coalesce(F.size("_records"), F.lit(0)) < 1).select("document", F.lit("NO_STRUCTURED_RECORDS_EXTRACTED").alias("failure"))
+    return found, parts, failed
+
+
+def class_crosswalk(mappings: DataFrame, classes: DataFrame, statuses: list[str], first: int) -> DataFrame:
+    """Classes (target, class_id) of the first so many mappings (id, target, status, position) in some statuses."""
+    few = mappings.where(F.col("status").isin(statuses)).orderBy("position").limit(first)
+    return few.join(classes, "target").select("id", "target", "class_id")
+
+
+def search_documents(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One text of several columns for each row, blanks left out."""
+    return df.select(F.col(key).alias("candidate_id"), F.concat_ws(" ", *(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in columns)).alias("name"))
+
+
+def harmonized(terms: Column, dictionary: dict[str, str]) -> Column:
+    """Terms of an array under the dictionary's names, and those that it doesn't have as they are."""
+    lookup = F.create_map(*[F.lit(x) for pair in dictionary.items() for x in pair])
+    return F.transform(terms, lambda t: F.coalesce(F.try_element_at(lookup, F.lower(F.trim(t))), t))
+
+
+def dictionary_entities(df: DataFrame, key: str, column: str, dictionary: DataFrame, most: int = 3) -> DataFrame:
+    """Entries of a dictionary (term, kind) in texts: key, position (of the first word), term, kind.
+
+    Runs of up to `most` words, in lower case, are joined with the terms; a frequent word costs no more than its rows.
+    """
+    words = F.regexp_extract_all(F.lower(F.col(column)), F.lit(r"([a-z0-9]+)"), F.lit(1))
+    starts = F.sequence(F.lit(1), F.size("words"))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("words") - i + 1)), lambda n: F.struct(i.alias("position"), F.array_join(F.slice("words", i, n), " ").alias("term")))))
+    rows = df.select(key, words.alias("words")).where("size(words) > 0").select(key, F.explode(runs).alias("r")).select(key, "r.position", "r.term")
+    return rows.join(dictionary.select(F.lower("term").alias("term"), "kind").distinct(), "term").select(key, "position", "term", "kind")

@@ -100,6 +100,71 @@ def decide(evidence: DataFrame) -> DataFrame:
     return rows.select("mention_id", decision.alias("decision"), F.coalesce("accepted", "reviewed").alias("candidate_id"))
 
 
+def semantic_evidence(candidates: DataFrame, trace: DataFrame, branch: str) -> DataFrame:
+    """candidates (mention_id, candidate_id, ...) with what a branch says of them: MATCH with the best rank, its score and
+    alias where it returned the candidate, else NOT_COMPARABLE. trace: mention_id, candidate_id, branch, rank, score, alias."""
+    best = F.min(F.struct("rank", (-F.col("score")).alias("minus"), "alias")).alias("best")
+    found = trace.where(F.col("branch") == branch).groupBy("mention_id", "candidate_id").agg(best)
+    rows = candidates.join(found, ["mention_id", "candidate_id"], "left")
+    status = F.when(F.col("best").isNotNull(), "MATCH").otherwise("NOT_COMPARABLE")
+    return rows.select(*candidates.columns, status.alias("semantic_status"), F.col("best.rank").alias("semantic_rank"), (-F.col("best.minus")).alias("semantic_score"), F.col("best.alias").alias("semantic_alias"))
+
+
+def layer_b(selected: DataFrame) -> DataFrame:
+    """What is published of a decision. selected: mention_id, decision, candidate_id, entity_type, facts (a struct of
+    family_id, family_name, product_id, product_name, components, form, release_modifier, rxnorm, atc arrays); facts and
+    candidate are null where nothing was selected.
+
+    Official records are evidence and never a result; products are published only if they were accepted as such.
+    """
+    none = lambda c: F.coalesce(c, F.lit(""))
+    chosen, official = F.col("candidate_id").isNotNull(), F.coalesce(F.col("entity_type") == "OFFICIAL_SOURCE_RECORD", F.lit(False))
+    level = F.when(~chosen | official | (F.col("decision") == "NIL"), "NO_SUPPORTED_RESOLUTION").otherwise(resolution(F.col("entity_type")))
+    exact = (F.col("decision") == "ACCEPT") & (level == "EXACT_LOCAL_PRODUCT")
+    own, product = (lambda n: F.when(~official, none(F.col(f"facts.{n}"))).otherwise("")), (lambda n: F.when(exact, none(F.col(f"facts.{n}"))).otherwise(""))
+    codes_of = F.array_sort(F.array_distinct(F.filter(F.coalesce("facts.atc", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))))
+    return selected.select(
+        "mention_id",
+        "decision",
+        level.alias("resolution_level"),
+        F.when(official, "").otherwise(none(F.col("candidate_id"))).alias("primary_candidate_id"),
+        own("family_id").alias("family_id"),
+        own("family_name").alias("family_name"),
+        product("product_id").alias("product_id"),
+        product("product_name").alias("product_name"),
+        F.when(official, F.array().cast("array<string>")).otherwise(F.coalesce("facts.components", F.array().cast("array<string>"))).alias("components"),
+        none(F.col("facts.form")).alias("dosage_form"),
+        none(F.col("facts.release_modifier")).alias("release_modifier"),
+        none(F.try_element_at("facts.rxnorm", F.lit(1))).alias("rxnorm"),
+        codes_of.alias("atc_codes"),
+    )
+
+
+def decide_online(evidence: DataFrame, supported: DataFrame) -> DataFrame:
+    """Decisions candidate by candidate, each tried as it is and then as its supported family, before the next one.
+
+    evidence: mention_id, final_rank, candidate_id, entity_type, family, lexical_status, hard, official boolean,
+    acceptable boolean, reasons; supported: family. It can differ from decide and then family_fallback, which looks at
+    families only after all candidates. Reasons are those of the candidate that would have been reviewed, and stay when a
+    later one is accepted as it is; a family has none.
+    """
+    rows = evidence.join(supported.distinct().withColumn("known", F.lit(True)), "family", "left")
+    family = F.coalesce(F.col("known") & (F.col("lexical_status") == "MATCH") & (F.size("hard") == 0) & (F.col("family") != ""), F.lit(False))
+    one = F.struct("final_rank", F.when(F.col("acceptable"), F.col("candidate_id").cast("string")).otherwise(F.concat(F.lit("FAMILY:"), "family")).alias("id"), F.col("acceptable").alias("as_it_is"))
+    reviewed = F.struct("final_rank", F.col("candidate_id").cast("string").alias("id"), "reasons")
+    best = rows.groupBy("mention_id").agg(F.min(F.when(F.col("acceptable") | family, one)).alias("a"), F.min(F.when(~F.col("official") & ~F.col("acceptable") & ~family, reviewed)).alias("r"))
+    before = F.col("r").isNotNull() & (F.col("a").isNull() | (F.col("r.final_rank") < F.col("a.final_rank")))
+    decision = F.when(F.col("a").isNotNull(), "ACCEPT").when(F.col("r").isNotNull(), "HUMAN_REVIEW").otherwise("NIL")
+    reasons = F.when(before & (F.col("a").isNull() | F.col("a.as_it_is")), F.col("r.reasons")).when(decision == "NIL", F.array(F.lit("NO_DEFENSIBLE_CANDIDATE"))).otherwise(F.array().cast("array<string>"))
+    return best.select("mention_id", decision.alias("decision"), F.coalesce("a.id", "r.id").alias("candidate_id"), reasons.alias("reasons"))
+
+
+def top_candidates(ranked: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
+    """For each mention its first n candidates as a JSON list, in the order of their ranks."""
+    first = ranked.where(F.col("final_rank") <= n)
+    return first.groupBy("mention_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns)))).alias("candidates"))
+
+
 def family_fallback(decisions: DataFrame, evidence: DataFrame, supported: DataFrame) -> DataFrame:
     """Decisions with a supported family in place of none, or of an ingredient or a term alone.
 

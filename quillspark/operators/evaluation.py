@@ -112,3 +112,65 @@ def readiness(gates: dict[str, Column], df: DataFrame) -> DataFrame:
     for n in gates:
         ready = ready & F.col(n)
     return one.withColumn("ready", ready)
+
+
+def document_rates(documents: DataFrame) -> DataFrame:
+    """Rates of documents with hallucinations, gaps, missed, truths, predictions and name_hallucinated columns: shares of
+    predictions (a hallucinated name is one more) and of truths, 0 where there are none."""
+    predicted = F.col("predictions") + F.col("name_hallucinated").cast("int")
+    share = lambda n, of: F.when(of > 0, F.col(n) / F.greatest(F.lit(1), of)).otherwise(0.0)
+    return documents.select("document", share("hallucinations", predicted).alias("hallucination_rate"), share("gaps", predicted).alias("gap_rate"), share("missed", F.col("truths")).alias("missing_rate"))
+
+
+def best_of_roles(rows: DataFrame, roles: dict[str, Column], score: str, key: str) -> DataFrame:
+    """For each role (a condition) the row with the highest score, ties to the smallest key; one scan, one row a role."""
+    named = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in roles.items())))
+    value = F.struct(F.col(score).alias("score"), *rows.columns)
+    tagged = rows.where(F.col(score).isNotNull()).select(F.explode(named).alias("role"), F.struct((-F.col(score)).alias("minus"), F.col(key).alias("key")).alias("place"), value.alias("row"))
+    return tagged.groupBy("role").agg(F.min_by("row", "place").alias("row")).select("role", *(F.col(f"row.{c}").alias(c) for c in rows.columns))
+
+
+def field_counts(pairs: DataFrame, similarity, least: float = 0.7) -> DataFrame:
+    """True and false positives and false negatives of documents with found and truth maps, over the keys of both.
+
+    similarity: a function of two text columns, from 0 to 1. Two texts that differ are a false positive and a false
+    negative; a key that one side lacks is as one with an empty text.
+    """
+    keys = F.explode(F.array_union(F.map_keys("found"), F.map_keys("truth")))
+    value = lambda side: F.lower(F.trim(F.coalesce(F.try_element_at(side, F.col("key")), F.lit(""))))
+    rows = pairs.select("document", keys.alias("key"), "found", "truth").select("document", value("found").alias("p"), value("truth").alias("t"))
+    same = (F.col("p") != "") & (F.col("t") != "") & (similarity(F.col("p"), F.col("t")) > least)
+    return rows.groupBy("document").agg(F.count_if(same).alias("tp"), F.count_if((F.col("p") != "") & ~same).alias("fp"), F.count_if((F.col("t") != "") & ~same).alias("fn"))
+
+
+def in_branch_order(trace: DataFrame, branches: list[str]) -> DataFrame:
+    """The trace with place, the order of its rows: by mention, then by the stated order of branches, rank and id."""
+    place = F.array_position(F.array(*map(F.lit, branches)), F.col("branch"))
+    return trace.withColumn("branch_order", F.when(place == 0, len(branches) + 1).otherwise(place)).orderBy("mention_id", "branch_order", "rank", "candidate_id")
+
+
+def study_summary(masks: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row: masks (layout, area, attributable boolean), the largest layout's share, the median area of attributable
+    masks, how many aren't, and the medians of the metrics' columns."""
+    sizes = masks.groupBy("layout").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("masks"), F.count(F.lit(1)).alias("layouts"), (F.max("n") / F.sum("n")).alias("common_share"))
+    areas = masks.agg(F.median(F.when(F.col("attributable"), F.col("area"))).alias("median_area"), F.count_if(~F.col("attributable")).alias("uncertain"))
+    medians = metrics.agg(*(F.median(c).alias(f"median_{c}") for c in metrics.columns))
+    return sizes.join(F.broadcast(areas)).join(F.broadcast(medians))
+
+
+def surface_category(text: Column, hits: Column, best_exact: Column, exact_ingredient: Column) -> Column:
+    """Which of seven kinds a surface is, the first that fits. text: normalized; hits: candidates that it has; best_exact:
+    the highest score of its exact branch (null without hits there); exact_ingredient: whether that names an ingredient."""
+    return (
+        F.when(F.coalesce(hits, F.lit(0)) == 0, "low_resource_unresolved")
+        .when(text.rlike(r"\d+(\.\d+)?\s*(mg|mcg|g|ml|iu|%)"), "strength_bearing")
+        .when((text.contains("+") | text.contains("/") | text.contains("with")) & (F.size(F.split(text, " ")) > 1), "fdc_looking")
+        .when((F.length(text) <= 5) | text.rlike("^(tab|cap|syp) "), "abbreviation")
+        .when(best_exact >= 0.999, F.when(exact_ingredient, "generic_name").otherwise("exact_looking_brand"))
+        .when(best_exact.isNotNull(), "misspelling_or_variant")
+        .otherwise("generic_name")
+    )
+
+
+def mask_routing(recall: Column, least: float = 0.72) -> Column:
+    return F.when(recall < least, "NEEDS_REVIEW").otherwise("SUCCESS")

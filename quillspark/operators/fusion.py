@@ -87,6 +87,13 @@ def overlay(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(*(F.when(F.col("replaced"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in new.columns and c != key else F.col(c) for c in old.columns))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with new's rows in place of those of the same key, and in addition where the key is new."""
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """old with new's rows in place of those of the same key, and in addition where the key is new.
+
+    order: a column of new that tells which of several rows of one key is the latest; it isn't returned. Without it the
+    largest row counts, so that the result doesn't hang on the order of rows.
+    """
+    row = F.struct(*old.columns)
+    latest = F.max_by(row, order) if order else F.max(row)
+    new = new.groupBy(F.col(key).alias("_key")).agg(latest.alias("_row")).select("_row.*")
     return old.join(new.select(key), key, "left_anti").unionByName(new)

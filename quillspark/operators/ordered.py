@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    """The first row of each key in an order, by one aggregation with partial minima: a hot key is a row a task."""
+    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
+    return df.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(first).select("_row.*")
 
 
 def head(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -19,15 +22,11 @@ def head(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFra
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """df with its position (from 0) in the order of a column of distinct values, and the number of rows.
 
-    Range partitions are numbered on their own and shifted by the counts of those before, so that no task sorts all.
+    Ranges are written with their numbers, sorted on their own and shifted by the counts of those before, so that no task
+    sorts all.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = [x for x in df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)] if parts > 1 else []
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + F.when(F.col(order) > e, 1).otherwise(0)
-    rows = df.withColumn("_bucket", bucket)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(parts, order).withColumn("_bucket", F.spark_partition_id()), "ranges")
     counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n"))
     total = counts.agg(F.sum("_n").alias("total"))
@@ -78,8 +77,9 @@ def quota(df: DataFrame, key: str, strata: list[tuple[str, Column, int]], n: int
 
 def copies(df: DataFrame, signature: str, position: str, is_reference: Column) -> DataFrame:
     """df without reference rows whose signature a primary row had earlier; primary rows all stay."""
-    first = F.min(F.when(~is_reference, F.col(position))).over(Window.partitionBy(signature))
-    return df.withColumn("_first", first).where(~is_reference | F.col("_first").isNull() | (F.col("_first") > F.col(position))).drop("_first")
+    first = df.where(~is_reference).groupBy(F.col(signature).alias("_signature")).agg(F.min(position).alias("_first"))
+    again = (F.col(signature) == F.col("_signature")) & (F.col("_first") <= F.col(position)) & is_reference
+    return df.join(first, again, "left_anti")
 
 
 def fill_forward(df: DataFrame, keys: list[str], order: str, value: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
+from ..sources.writers import fingerprint
 from ..tables import is_small, small_side, written
 
 #: Distinct texts of a block's part, and query vectors of a block.
@@ -130,21 +131,23 @@ def corpus_statistics(terms: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25(mentions: DataFrame, catalog: DataFrame, limit: int = 25, k1: float = 1.5, b: float = 0.75, ascii_only: bool = False) -> DataFrame:
+def bm25(mentions: DataFrame, catalog: DataFrame, limit: int = 25, k1: float = 1.5, b: float = 0.75, ascii_only: bool = False, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Okapi BM25. Repeated query terms count as often as they occur.
 
     Texts are normalized once, and words that no mention has go before anything is shuffled. Postings (a document's id,
     length, term and its count) are written, dealt by document, so that a document's weights are summed where they are
-    read. Corpus size and mean length are one row.
+    read. Corpus size and mean length are one row. indexed: what index returned for the catalog, which isn't read then.
     """
     words = F.filter(F.split("t", "[^a-z0-9]+"), lambda w: F.length(w) > 1)
-    names = normalized(catalog, "candidate_id", "name", ascii_only).select("candidate_id", words.alias("words"))
-    length = F.greatest(F.size("words"), F.lit(1))
-    total = names.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean_length"))
     asked = written(normalized(mentions, "mention_id", "text", ascii_only).select("mention_id", F.explode(words).alias("term")).groupBy("mention_id", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
     terms = written(asked.select("term").distinct(), "terms")
-    rows = names.select("candidate_id", length.alias("length"), F.explode("words").alias("term")).join(small_side(terms), "term", "left_semi")
-    postings = written(rows.repartition("candidate_id").groupBy("candidate_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    if indexed:
+        postings, lengths = indexed[0].join(small_side(terms), "term", "left_semi"), indexed[1]
+    else:
+        lengths = normalized(catalog, "candidate_id", "name", ascii_only).select("candidate_id", words.alias("words")).withColumn("length", F.greatest(F.size("words"), F.lit(1)))
+        rows = lengths.select("candidate_id", "length", F.explode("words").alias("term")).join(small_side(terms), "term", "left_semi")
+        postings = written(rows.repartition("candidate_id").groupBy("candidate_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     df = written(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
@@ -153,6 +156,36 @@ def bm25(mentions: DataFrame, catalog: DataFrame, limit: int = 25, k1: float = 1
     return ranked(hits, "bm25", limit)
 
 
+def index(catalog: DataFrame, folder: str, ascii_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Postings (candidate_id, length, term, tf) and documents (candidate_id, length) of a catalog, written below a folder
+    under the catalog's fingerprint and read from there while the catalog stays the same."""
+    spark = catalog.sparkSession
+    made = fingerprint(catalog).first()
+    path = f"{folder.rstrip('/')}/{made['n']}-{made['digest']}-{int(ascii_only)}"
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/postings/_SUCCESS")
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        words = text.tokens(F.col("name"), ascii_only)
+        rows = catalog.select("candidate_id", words.alias("words")).withColumn("length", F.greatest(F.size("words"), F.lit(1)))
+        rows.select("candidate_id", "length").write.mode("overwrite").parquet(f"{path}/documents")
+        rows.select("candidate_id", "length", F.explode("words").alias("term")).repartition("candidate_id").groupBy("candidate_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")).write.mode("overwrite").parquet(f"{path}/postings")
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents")
+
+
+def fuzzy_scan(mentions: DataFrame, names: DataFrame, score: Column, threshold: float, limit: int = 75, ascii_only: bool = False) -> DataFrame:
+    """Every distinct mention text against every distinct name, in blocks: a stated query set against all rows.
+
+    score reads columns a and b. For names that share no token with their mention; blocked_fuzzy is the cheaper way.
+    """
+    left = written(mentions.select(text.normalize_text(F.col("text"), ascii_only).alias("a")).where("a <> ''").distinct(), "asked")
+    n = max(1, -(-left.count() // BLOCK))
+    left = left.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(n)).cast("int"))
+    right = names.select(text.normalize_text(F.col("name"), ascii_only).alias("b")).where("b <> ''").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = right.join(F.broadcast(left) if n == 1 else left, "block").select("a", "b").withColumn("score", score).where(F.col("score") >= threshold)
+    asked = mentions.select("mention_id", text.normalize_text(F.col("text"), ascii_only).alias("a"))
+    of = names.select("candidate_id", text.normalize_text(F.col("name"), ascii_only).alias("b"))
+    return ranked(pairs.join(asked, "a").join(of, "b").select("mention_id", "candidate_id", "score").distinct(), "scan", limit)
+
+
 def dense(queries: DataFrame, vectors: DataFrame, limit: int = 25, where: Column | None = None) -> DataFrame:
     """Inner products of query vectors (mention_id, vector) with all vectors (candidate_id, vector), best first.
 
@@ -186,4 +219,4 @@ def per_distinct_text(mentions: DataFrame, branch) -> DataFrame:
     return mentions.join(of, mentions["text"].eqNullSafe(of["one"])).select("mention_id", "text_id").join(trace, "text_id").drop("text_id")
 
 
-__all__ = ["blocked_fuzzy", "bm25", "contained", "corpus_statistics", "crosswalk", "dense", "exact", "normalized", "per_distinct_text", "ranked", "similarity"]
+__all__ = ["blocked_fuzzy", "bm25", "contained", "corpus_statistics", "crosswalk", "dense", "exact", "fuzzy_scan", "index", "normalized", "per_distinct_text", "ranked", "similarity"]

@@ -27,13 +27,13 @@ def entry_table(spark, sf):
 
 
 @query(
-    """with l as (select p_name as name, p_partkey as target, case p_size % 3 when 0 then 'IN' when 1 then 'SY' else 'XX' end as tt from part where p_partkey % 9 = 0), f as (select name, count(distinct target) as ids, min(target) as target, min(tt) as tt from l group by 1)
+    """with l as (select p_name as name, p_partkey as target, case p_size % 3 when 0 then 'IN' when 1 then 'SY' else 'XX' end as tt from part where p_size between 3 and 4), f as (select name, count(distinct target) as ids, min(target) as target, min(tt) as tt from l group by 1)
     select n.name, coalesce(ids, 0) as ids, case when ids = 1 then target end as target, case when ids is null then 'NO_MATCH' when ids > 1 then 'AMBIGUOUS' when tt = 'IN' then 'EXACT' when tt = 'SY' then 'NORMALIZED_SUPPORTED' else 'APPROXIMATE_REVIEW' end as status from (select distinct p_name as name from part) n left join f on f.name = n.name"""
 )
 def crosswalk_status(spark, sf):
     p = table(spark, sf, "part").withColumn("name", F.col("p_name"))
     kind = F.when(F.col("p_size") % 3 == 0, "IN").when(F.col("p_size") % 3 == 1, "SY").otherwise("XX")
-    return assembly.crosswalk_status(p.where("p_partkey % 9 = 0").select("name", F.col("p_partkey").alias("target"), kind.alias("term_type")), p)
+    return assembly.crosswalk_status(p.where("p_size between 3 and 4").select("name", F.col("p_partkey").alias("target"), kind.alias("term_type")), p)
 
 
 @query(f"with {TRACE}, wanted as (select item_id as mention_id, unnest(['bm25', 'contained']) as branch from benchmark) select wanted.mention_id, wanted.branch, t.candidate_id, case when t.candidate_id is null then 'EMPTY' else 'SUCCESS' end as status from wanted left join trace t on t.mention_id = wanted.mention_id and t.branch = wanted.branch")
