@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import release, ship
 
 #: Vocabulary by default, and characters of a leaf of the tree.
 RANKS, LEAF = "byte_bpe_50k.tiktoken", 2048
@@ -149,7 +149,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_round_trip(ranks_path(path), with_ids), schema)
 
 
-def _attribute(path: str, rule: str) -> Callable:
+def _attribute(path: str, rule: str, stated: bool = False) -> Callable:
+    """Sections are lines, or begin at the code points that the third column states."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
         names = ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"]
@@ -164,12 +166,15 @@ def _attribute(path: str, rule: str) -> Callable:
                     c.clear()
                 return done
 
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for k, (doc_id, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
                 text = text.as_py() or ""
                 data = np.frombuffer(text.encode(), np.uint8)
-                begin = np.append(0, np.flatnonzero(data == 10) + 1)  # byte at which each section begins
-                if len(begin) > 1 and begin[-1] == len(data):
-                    begin = begin[:-1]
+                if stated:
+                    begin = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[batch.column(2)[k].as_py()]
+                else:
+                    begin = np.append(0, np.flatnonzero(data == 10) + 1)  # byte at which each section begins
+                    if len(begin) > 1 and begin[-1] == len(data):
+                        begin = begin[:-1]
                 ends = np.cumsum(codec.length[np.array(codec.plain(text), np.int64)])
                 starts = ends - np.diff(ends, prepend=0)
                 first = np.searchsorted(begin, starts, "right") - 1
@@ -187,10 +192,34 @@ def _attribute(path: str, rule: str) -> Callable:
                     yield flush()
                     rows = 0
             yield flush()
+        release()
 
     return run
 
 
+def field_tokens(docs: DataFrame, fields: list[str], separator: str = "\n", path: str | None = None, rule: str = "first") -> DataFrame:
+    """Tokens of each field of documents that are their fields with a separator after each but the last.
+
+    The whole document is encoded once, as a model reads it; the fields' intervals follow from their lengths, and a
+    separator belongs to the field before it. Tokens that cross a boundary count as in section_tokens.
+
+    docs: doc_id long and the fields; other columns are ignored. Returns doc_id, section (the field's place, from 0),
+    field, start, end, n_tokens, n_crossing. Null and empty fields have no tokens but their separator's; null doc_ids
+    and repeated rows are returned as they are.
+    """
+    if rule not in ("first", "last"):
+        raise ValueError("rule is first or last")
+    ship(docs.sparkSession)
+    parts = [F.concat(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit(separator if i + 1 < len(fields) else "")) for i, f in enumerate(fields)]
+    begins = [F.lit(0)]
+    for part in parts[:-1]:
+        begins.append(begins[-1] + F.length(part))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(*parts).alias("text"), F.array(*begins).alias("begins"))
+    schema = "doc_id long, section long, start long, end long, n_tokens long, n_crossing long"
+    out = rows.mapInArrow(_attribute(ranks_path(path), rule, True), schema)
+    return out.select("doc_id", "section", F.element_at(F.array(*map(F.lit, fields)), (F.col("section") + 1).cast("int")).alias("field"), "start", "end", "n_tokens", "n_crossing")
+
+
 def section_tokens(docs: DataFrame, path: str | None = None, rule: str = "first") -> DataFrame:
     """Tokens of each section of each text, a section being a line with the line feed that ends it.
 

@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm import bpe, cutting_stock, packing, queries
@@ -76,6 +78,56 @@ def test_section_tokens(make, odd_texts):
     assert bpe.section_tokens(make(["x"]).limit(0)).count() == 0
 
 
+def plain_sections(text, begins, rule):
+    """(tokens, crossing ones) of each section, token by token: begins are code points."""
+    places = [len(text[:b].encode()) for b in begins]
+    counts, at = [[0, 0] for _ in begins], 0
+    for i in CODEC.encoding.encode_ordinary(text):
+        size = len(CODEC.encoding.decode_single_token_bytes(i))
+        first, last = (max(k for k, p in enumerate(places) if p <= byte) for byte in (at, at + size - 1))
+        counts[first if rule == "first" else last][0] += 1
+        counts[first if rule == "first" else last][1] += first != last
+        at += size
+    return [tuple(c) for c in counts]
+
+
+ODD_SECTIONS = ["a\n\n\n b!\n\n", "x\r\ny\n", "\n", "é\n\né", "日本\n語 テ\n\n🙂\n", "end \n \n\t x"]
+
+
+def test_section_rules(spark, make, sf):
+    """Both rules, other scripts and the whole table, against plain code; crossing tokens move and none is lost."""
+    for df in (make(ODD_SECTIONS), queries.table(spark, sf, "documents")):
+        texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+        for rule in ("first", "last"):
+            got = {}
+            for r in bpe.section_tokens(df, rule=rule).collect():
+                got.setdefault(r["doc_id"], []).append((r["section"], r["start"], r["end"], (r["n_tokens"], r["n_crossing"])))
+            for doc_id, text in texts.items():
+                rows = sorted(got[doc_id])
+                assert [r[3] for r in rows] == plain_sections(text, [r[1] for r in rows], rule)
+                assert "".join(text[s:e] for _, s, e, _ in rows) == text
+    with pytest.raises(ValueError):
+        bpe.section_tokens(make(["x"]), rule="middle")
+
+
+def test_field_tokens(spark):
+    rows = [(1, "title of it", "body  text\n", "en"), (2, None, "日本 語", ""), (3, "", "", None), (None, "é", "🙂", "x"), (1, "title of it", "body  text\n", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, title string, text string, lang string").withColumn("section", F.lit("clash"))
+    for rule in ("first", "last"):
+        for separator in ("\n", "", " || "):
+            got = bpe.field_tokens(df, ["title", "text", "lang"], separator, rule=rule).collect()
+            assert len(got) == 15 and [r["field"] for r in got[:3]] == ["title", "text", "lang"]
+            for k, (doc_id, *fields) in enumerate(rows):
+                parts = [(f or "") + (separator if i < 2 else "") for i, f in enumerate(fields)]
+                begins = [len("".join(parts[:i])) for i in range(3)]
+                mine = got[3 * k : 3 * k + 3]
+                assert [r["doc_id"] for r in mine] == [doc_id] * 3 and [r["start"] for r in mine] == begins
+                assert [(r["n_tokens"], r["n_crossing"]) for r in mine] == plain_sections("".join(parts), begins, rule)
+    assert bpe.field_tokens(df.limit(0), ["title"]).count() == 0
+    with pytest.raises(ValueError):
+        bpe.field_tokens(df, ["title"], rule="x")
+
+
 def test_word_bpe_characters():
     """Every character of the quick way, in several surroundings, and texts of mixed characters."""
     own = WordBpe.load(public_tokenizers.path("word_bpe_49k.json"))
