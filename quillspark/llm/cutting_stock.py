@@ -7,25 +7,25 @@ import numpy as np
 
 def _price(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The pattern of highest value that fits: an unbounded knapsack, by dynamic programming over capacities."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(size)
-    s, v = size[order], value[order]
-    fit = np.searchsorted(s, np.arange(capacity + 1), "right")
+    worth, index = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+    worth[size], index[size] = value, np.arange(len(size))
+    back, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)  # back[capacity - w]: the best value of w
     for w in range(1, capacity + 1):
-        best[w], pick[w] = best[w - 1], -1
-        if fit[w]:
-            total = best[w - s[: fit[w]]] + v[: fit[w]]
-            k = int(np.argmax(total))
-            if total[k] > best[w] + 1e-12:
-                best[w], pick[w] = total[k], k
+        total = back[capacity - w + 1 :] + worth[1 : w + 1]  # each size up to w with the best of what it leaves
+        k = int(total.argmax())
+        last = back[capacity - w + 1]
+        if total[k] > last + 1e-12:
+            back[capacity - w], pick[w] = total[k], k + 1
+        else:
+            back[capacity - w] = last
     pattern, w = np.zeros(len(size), np.int64), capacity
     while w > 0:
-        if pick[w] < 0:
-            w -= 1
+        if pick[w]:
+            pattern[index[pick[w]]] += 1
+            w -= int(pick[w])
         else:
-            pattern[order[pick[w]]] += 1
-            w -= int(s[pick[w]])
-    return float(best[capacity]), pattern
+            w -= 1
+    return float(back[0]), pattern
 
 
 def _inverse(m: np.ndarray) -> np.ndarray:
