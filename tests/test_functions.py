@@ -67,3 +67,14 @@ def test_similarity_columns(spark):
     df = spark.createDataFrame([("abc", "abd"), (None, "x"), ("", "")], "a string, b string")
     rows = df.select(similarity.ratio(F.col("a"), F.col("b")).alias("r"), similarity.partial_ratio(F.col("a"), F.col("b")).alias("p"), similarity.block_ratio(F.col("a"), F.col("b")).alias("d"), similarity.character_error_rate(F.col("a"), F.col("b")).alias("c")).collect()
     assert rows[0]["r"] == pytest.approx(200 * 2 / 6) and rows[1]["r"] is None and rows[2]["r"] == 100 and rows[0]["c"] == pytest.approx(1 / 3)
+
+
+def test_partial_ratio_is_the_best_window(monkeypatch):
+    """Against each window on its own, ends included."""
+    monkeypatch.setattr(similarity, "FEW", 0)
+    r = random.Random(5)
+    for _ in range(400):
+        a, b = ("".join(r.choice("abc de"[: r.randint(2, 6)]) for _ in range(r.randint(1, 25))) for _ in range(2))
+        a, b = sorted((a, b), key=len)
+        want = max(similarity.ratio_of(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+        assert abs(similarity.partial_of(a, b) - want) < 1e-9, (a, b)
