@@ -160,3 +160,46 @@ def dictionary_entities(df: DataFrame, key: str, column: str, dictionary: DataFr
     runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("words") - i + 1)), lambda n: F.struct(i.alias("position"), F.array_join(F.slice("words", i, n), " ").alias("term")))))
     rows = df.select(key, words.alias("words")).where("size(words) > 0").select(key, F.explode(runs).alias("r")).select(key, "r.position", "r.term")
     return rows.join(dictionary.select(F.lower("term").alias("term"), "kind").distinct(), "term").select(key, "position", "term", "kind")
+
+
+def source_registry(spark: SparkSession, sources: list[tuple], schema: str, digests: DataFrame) -> DataFrame:
+    """A stated list of sources (source_id first) with the digests of their snapshots (source_id, sha256) where there are."""
+    return spark.createDataFrame(sources, schema).join(digests.select("source_id", "sha256"), "source_id", "left")
+
+
+def index_tables(df: DataFrame, keys: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """Projections of a table by name, and "names", the distinct texts of their first columns, blanks left out."""
+    out = {name: df.select(*columns).distinct() for name, columns in keys.items()}
+    first = [df.select(F.lit(n).alias("index"), F.col(c[0]).cast("string").alias("name")) for n, c in keys.items()]
+    out["names"] = reduce(DataFrame.union, first).where("trim(name) <> ''").distinct()
+    return out
+
+
+def flattened(df: DataFrame) -> DataFrame:
+    """Struct columns as columns of their own (outer_inner, at any depth), arrays and maps as JSON texts."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    columns, deeper = [], False
+    for name, kind in kinds.items():
+        if kind.typeName() == "struct":
+            columns += [F.col(f"`{name}`.`{f.name}`").alias(f"{name}_{f.name}") for f in kind.fields]
+            deeper = True
+        else:
+            columns.append(F.to_json(F.col(f"`{name}`")).alias(name) if kind.typeName() in ("array", "map") else F.col(f"`{name}`"))
+    out = df.select(*columns)
+    return flattened(out) if deeper else out
+
+
+def queue_status(tasks: DataFrame, states: DataFrame, key: str = "task_id", time: str = "time") -> DataFrame:
+    """Each task with its last state, PENDING before the first one."""
+    return tasks.join(latest(states, key, time).select(key, F.col("status").alias("_status")), key, "left").select(*tasks.columns, F.coalesce("_status", F.lit("PENDING")).alias("status"))
+
+
+def pattern_scan(lines: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Lines (key, line_no, line) with the category of each pattern (category, pattern) that they match, once each.
+
+    patterns: a stated table, broadcast; every line is read once for all of them.
+    """
+    every = patterns.agg(F.collect_list(F.struct("category", "pattern")).alias("patterns"))
+    hits = F.filter("patterns", lambda p: F.regexp("line", p["pattern"]))
+    rows = lines.join(F.broadcast(every)).withColumn("hits", F.array_distinct(F.transform(hits, lambda p: p["category"])))
+    return rows.select(*lines.columns, F.explode("hits").alias("category"))

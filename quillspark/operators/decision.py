@@ -200,3 +200,16 @@ def violations(**checks: DataFrame) -> DataFrame:
         one = rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("invariant"), "violations")
         out = one if out is None else out.union(one)
     return out
+
+
+def supported_families(products: DataFrame, validated: DataFrame, families: DataFrame, names: DataFrame) -> DataFrame:
+    """Families of products (source_id, family) that were validated (source_id), and families (family, name) whose name an
+    index has (name), once each."""
+    by_product = products.join(validated.select("source_id"), "source_id", "left_semi").select("family")
+    by_name = families.join(names.select("name"), "name", "left_semi").select("family")
+    return by_product.union(by_name).where("family is not null and family <> ''").distinct()
+
+
+def family_of(entity_type: Column, entity_id: Column, family: Column) -> Column:
+    """The family that a candidate stands for: itself, or the one that its facts name."""
+    return F.when(entity_type == "BRAND_FAMILY", entity_id).otherwise(F.coalesce(family, F.lit("")))

@@ -174,3 +174,20 @@ def surface_category(text: Column, hits: Column, best_exact: Column, exact_ingre
 
 def mask_routing(recall: Column, least: float = 0.72) -> Column:
     return F.when(recall < least, "NEEDS_REVIEW").otherwise("SUCCESS")
+
+
+def scored(alignments: DataFrame, review: tuple[str, ...] = ("gap", "review")) -> dict[str, DataFrame]:
+    """The report tables of aligned fields (document, category, status TP, FP or FN, similarity, kind): by document, by
+    field, the alignment itself, errors, the queue for review, and one summary row of macro means over documents."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    tally = [count("TP").alias("tp"), count("FP").alias("fp"), count("FN").alias("fn")]
+    rated = lambda df: df.withColumns(precision_recall(F.col("tp"), F.col("fp"), F.col("fn")))
+    documents = rated(alignments.groupBy("document").agg(*tally, F.avg("similarity").alias("similarity")))
+    return {
+        "documents": documents,
+        "fields": rated(alignments.groupBy("category").agg(*tally)),
+        "alignment": alignments,
+        "errors": alignments.where("status <> 'TP'"),
+        "review": alignments.where(F.col("kind").isin(*review)),
+        "summary": documents.agg(F.count(F.lit(1)).alias("documents"), *(F.avg(c).alias(c) for c in ("precision", "recall", "f1", "similarity"))),
+    }

@@ -97,3 +97,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -
     latest = F.max_by(row, order) if order else F.max(row)
     new = new.groupBy(F.col(key).alias("_key")).agg(latest.alias("_row")).select("_row.*")
     return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def union_size(trace: DataFrame) -> DataFrame:
+    """The median number of distinct candidates that mentions have, as one row."""
+    return trace.groupBy("mention_id").agg(F.count_distinct("candidate_id").alias("n")).agg(F.median("n").alias("median_candidates"))

@@ -113,3 +113,8 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, lo: str, hi: str
     p = points.withColumn("_bucket", F.floor(F.col(point) / width))
     s = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
     return p.join(s, "_bucket").where((F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))).drop("_bucket")
+
+
+def first_rows(df: DataFrame, ordinal: str, n: int) -> DataFrame:
+    """The first n rows in the order in which they came, which a column must tell."""
+    return df.orderBy(ordinal).limit(n)

@@ -186,16 +186,17 @@ def fuzzy_scan(mentions: DataFrame, names: DataFrame, score: Column, threshold:
     return ranked(pairs.join(asked, "a").join(of, "b").select("mention_id", "candidate_id", "score").distinct(), "scan", limit)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, limit: int = 25, where: Column | None = None) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, limit: int = 25, where: Column | None = None, cosine: bool = False) -> DataFrame:
     """Inner products of query vectors (mention_id, vector) with all vectors (candidate_id, vector), best first.
 
     A stated query set meets all rows in blocks of queries. where: a condition on mention_id and candidate_id, for
-    callers whose ids are of one kind. Queries are broadcast if they are few; limits run before ranks are shuffled.
+    callers whose ids are of one kind. cosine: vectors count as if they had length 1. Queries are broadcast if they are few; limits run before ranks are shuffled.
     """
-    queries = written(queries.select("mention_id", F.transform("vector", lambda x: x.cast("double")).alias("q")), "queries")
+    of = (lambda c: similarity.unit(F.col(c))) if cosine else (lambda c: F.transform(c, lambda x: x.cast("double")))
+    queries = written(queries.select("mention_id", of("vector").alias("q")), "queries")
     n = max(1, -(-queries.count() // QUERY_BLOCK))
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("mention_id"), F.lit(n)).cast("int"))
-    rows = vectors.select("candidate_id", F.transform("vector", lambda x: x.cast("double")).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rows = vectors.select("candidate_id", of("vector").alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     pairs = rows.join(F.broadcast(blocks) if n == 1 else blocks, "block")
     product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return ranked((pairs if where is None else pairs.where(where)).select("mention_id", "candidate_id", product.alias("score")), "dense", limit)

@@ -160,3 +160,58 @@ def unicode_surface(spark, sf):
     from ..functions.text import lexical_surface
 
     return table(spark, sf, "benchmark").select("item_id", lexical_surface(F.concat(F.lit(" "), "text", F.lit("\xa0END\x1c"))).alias("surface"))
+
+
+_ALIGNED = "a as (select l_orderkey % 500 as document, l_returnflag as category, case when l_quantity < 30 then 'TP' when l_linestatus = 'F' then 'FP' else 'FN' end as status, l_discount as similarity, case when l_tax > 0.06 then 'gap' when l_tax > 0.03 then 'review' else 'hallucination' end as kind from lineitem)"
+
+
+def _scored(spark, sf):
+    status = F.when(F.col("l_quantity") < 30, "TP").when(F.col("l_linestatus") == "F", "FP").otherwise("FN")
+    kind = F.when(F.col("l_tax") > 0.06, "gap").when(F.col("l_tax") > 0.03, "review").otherwise("hallucination")
+    return evaluation.scored(table(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("document"), F.col("l_returnflag").alias("category"), status.alias("status"), F.col("l_discount").alias("similarity"), kind.alias("kind")))
+
+
+@query(f"with {_ALIGNED}, c as (select category, count(*) filter (status = 'TP') as tp, count(*) filter (status = 'FP') as fp, count(*) filter (status = 'FN') as fn from a group by 1) select category, tp, fp, fn, round(tp / (tp + fp)::double, 9) as precision, round(tp / (tp + fn)::double, 9) as recall, round(2 * tp / (2 * tp + fp + fn)::double, 9) as f1 from c")
+def report_fields(spark, sf):
+    return _scored(spark, sf)["fields"].select("category", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(f"with {_ALIGNED}, c as (select document, count(*) filter (status = 'TP')::double as tp, count(*) filter (status = 'FP') as fp, count(*) filter (status = 'FN') as fn, avg(similarity) as s from a group by 1) select count(*) as documents, round(avg(case when tp + fp > 0 then tp / (tp + fp) else 0 end), 9) as precision, round(avg(case when tp + fn > 0 then tp / (tp + fn) else 0 end), 9) as recall, round(avg(case when tp > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end), 9) as f1, round(avg(s), 9) as similarity from c")
+def report_summary(spark, sf):
+    return _scored(spark, sf)["summary"].select("documents", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "similarity")))
+
+
+@query(f"with {_ALIGNED} select document, category, kind, count(*) as n from a where kind in ('gap', 'review') group by 1, 2, 3")
+def report_review(spark, sf):
+    return _scored(spark, sf)["review"].groupBy("document", "category", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """select distinct family from (select p_brand as family from part where p_partkey in (select l_partkey from lineitem where l_quantity > 49) union all select p_type from part where p_name in (select p_name from part where p_size = 50))"""
+)
+def supported_families(spark, sf):
+    p = table(spark, sf, "part")
+    validated = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("source_id"))
+    return decision.supported_families(p.select(F.col("p_partkey").alias("source_id"), F.col("p_brand").alias("family")), validated, p.select(F.col("p_type").alias("family"), F.col("p_name").alias("name")), p.where("p_size = 50").select(F.col("p_name").alias("name")))
+
+
+@query("select median(n) as median_candidates from (select l_orderkey, count(distinct l_suppkey) as n from lineitem group by 1)")
+def union_size(spark, sf):
+    from ..operators import fusion
+
+    return fusion.union_size(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("mention_id"), F.col("l_suppkey").alias("candidate_id")))
+
+
+_PATTERNS = [("assignment", r"(?i)(token|password|secret)\s*[:=]"), ("address", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ("mail", r"[a-z0-9]@[a-z0-9]"), ("license", r"(?i)licen[cs]e"), ("address", r"^\+[0-9]")]
+
+
+@query(
+    "with l as (select doc_id, unnest(list_transform(range(1, 1 + len(string_split(text, chr(10)))), lambda i: {'n': i, 't': string_split(text, chr(10))[i]})) as r from documents), p(category, pattern) as (values "
+    + ", ".join(f"('{c}', '{p}')" for c, p in _PATTERNS)
+    + ") select distinct doc_id, r.n as line_no, category from l join p on regexp_matches(r.t, pattern)"
+)
+def pattern_scan(spark, sf):
+    from ..sources import readers
+
+    lines = readers.lines(table(spark, sf, "documents"), "doc_id")
+    return assembly.pattern_scan(lines, spark.createDataFrame(_PATTERNS, "category string, pattern string")).select("doc_id", "line_no", "category")

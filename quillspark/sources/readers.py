@@ -86,3 +86,9 @@ def medications(df: DataFrame, key: str, json: str) -> DataFrame:
     rows = df.select(key, F.posexplode(F.concat(arrays, extra)).alias("part", "group")).select(key, "part", "group.place", F.posexplode("group.items").alias("position", "item"))
     name = F.coalesce(*(F.get_json_object("item", f"$.{f}") for f in ("raw_medication_text", "name", "medicine", "medicine_name")))
     return rows.select(key, "place", "part", "position", name.alias("name"), (F.col("place") == "$.reference_annotations").alias("is_reference"))
+
+
+def saved(spark: SparkSession, name: str, columns: list[str], condition: str | None = None) -> DataFrame:
+    """Columns of a table of the session's catalog; the condition goes to the scan."""
+    df = spark.table(name)
+    return (df.where(condition) if condition else df).select(*columns)

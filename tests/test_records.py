@@ -153,3 +153,32 @@ def test_scores(spark):
     assert spark.range(1).select(evaluation.mask_routing(F.lit(0.5)).alias("x")).first()["x"] == "NEEDS_REVIEW"
     ranked = spark.createDataFrame([(1, r, f"c{r}") for r in range(7, 0, -1)], "mention_id long, final_rank int, candidate_id string")
     assert decision.top_candidates(ranked, ["candidate_id"], 2).first()["candidates"] == '[{"candidate_id":"c1"},{"candidate_id":"c2"}]'
+
+
+def test_small_assemblies(spark, tmp_path):
+    from quillspark.operators import ordered
+    from quillspark.sources import readers
+
+    registry = assembly.source_registry(spark, [("a", "first"), ("b", "second")], "source_id string, title string", spark.createDataFrame([("a", "00")], "source_id string, sha256 string"))
+    assert sorted(map(tuple, registry.collect())) == [("a", "first", "00"), ("b", "second", None)]
+    wide = spark.createDataFrame([("n1", "f1", 1), ("n1", "f1", 2), (" ", "f2", 3)], "name string, family string, id long")
+    made = assembly.index_tables(wide, {"brand": ["name", "family"], "family": ["family"]})
+    assert made["brand"].count() == 2 and sorted(map(tuple, made["names"].collect())) == [("brand", "n1"), ("family", "f1"), ("family", "f2")]
+    nested = spark.range(1).select(F.struct(F.lit(1).alias("x"), F.struct(F.lit("v").alias("y")).alias("z")).alias("a"), F.array(F.lit(1), F.lit(2)).alias("l"), F.lit(5).alias("n"))
+    assert assembly.flattened(nested).first().asDict() == {"a_x": 1, "a_z_y": "v", "l": "[1,2]", "n": 5}
+    tasks, states = spark.createDataFrame([(1,), (2,)], "task_id long"), spark.createDataFrame([(1, "RUNNING", 1), (1, "DONE", 2)], "task_id long, status string, time int")
+    assert sorted(map(tuple, assembly.queue_status(tasks, states).collect())) == [(1, "DONE"), (2, "PENDING")]
+    assert [r["id"] for r in ordered.first_rows(wide, "id", 2).collect()] == [1, 2]
+    wide.write.mode("overwrite").saveAsTable("quill_saved")
+    assert [r["id"] for r in readers.saved(spark, "quill_saved", ["id"], "family = 'f2'").collect()] == [3]
+    spark.sql("drop table quill_saved")
+    kinds = spark.createDataFrame([("BRAND_FAMILY", "x", "y"), ("INGREDIENT", "x", None), ("BRAND_PRODUCT", "x", "y")], "t string, i string, f string")
+    assert [r["v"] for r in kinds.select(decision.family_of(F.col("t"), F.col("i"), F.col("f")).alias("v")).collect()] == ["x", "", "y"]
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 1.0]], [0])], "s array<array<double>>, m array<int>")
+    assert [r["v"] for r in df.select(similarity.mean_pool(F.col("s"), F.col("m")).alias("v")).collect()] == [[2.0, 3.0], None]
+    vectors = spark.createDataFrame([(1, [3.0, 4.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0])], "candidate_id long, vector array<float>")
+    got = retrieval.dense(vectors.where("candidate_id = 1").withColumnRenamed("candidate_id", "mention_id"), vectors, 3, cosine=True).collect()
+    assert [(r["candidate_id"], round(r["score"], 6)) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1.0), (2, 0.6), (3, 0.0)]
