@@ -132,6 +132,7 @@ def _round_trip(path: str, with_ids: bool) -> Callable:
                     yield flush()
                     size = 0
             yield flush()
+        release()
 
     return run
 

@@ -1,16 +1,20 @@
-"""What the operators of this subpackage share: the shared work folder, written tables, checked broadcasts."""
+"""What the operators of this subpackage share: written tables (stash), hot keys, workers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import small_side, work_dir
+from ..tables import written as stash
+
+__all__ = ["BATCH_ROWS", "PART_ROWS", "SMALL_ROWS", "bounded_sample", "discard", "hot_keys", "lower_ascii", "release", "ship", "small_side", "split_join", "stash", "table", "work_dir"]
+
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Rows of a side that may be broadcast, and rows of one key that one task of a join gets.
 SMALL_ROWS, PART_ROWS = 300_000, 1000
@@ -22,30 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the setting is missing a local session gets a folder of its own; a cluster session is refused, for a
-    machine-local folder would lose rows there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/stash-{uuid.uuid4().hex}/{name}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def discard(df: DataFrame | None) -> None:
     """Deletes what stash wrote for df, once nothing reads it any more."""
     if df is None:
@@ -66,14 +46,6 @@ def bounded_sample(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
     return near.orderBy(F.xxhash64(key), *df.columns).limit(n)
 
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """df, marked for broadcast only if a count shows that it has at most max_rows rows; else Spark shuffles it.
-
-    df is read twice, so it should be a written table.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
     """Keys with more than PART_ROWS rows in df and how many parts they make, as a written table of few rows; None if
     there is none, as in most tables."""
