@@ -183,6 +183,15 @@ def promotable(levels: Column, official: Column, authenticated: Column) -> Colum
     return official & authenticated & (F.size(F.array_except(F.array(*map(F.lit, PROMOTION_LEVELS)), levels)) == 0)
 
 
+def name_hallucinated(found: Column, truth: Column) -> Column:
+    """Whether a name was found where the truth has none; the likeness to its address only says why."""
+    return (F.coalesce(found, F.lit("")) != "") & (F.coalesce(truth, F.lit("")) == "")
+
+
+def name_rationale(address_similarity: Column) -> Column:
+    return F.when(address_similarity >= 70, "address taken for a name").otherwise("name without a truth")
+
+
 def false_positive_kind(similarity: Column) -> Column:
     return F.when(similarity >= 80, "gap").when(similarity < 60, "hallucination").otherwise("review")
 

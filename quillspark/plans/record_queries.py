@@ -215,3 +215,50 @@ def pattern_scan(spark, sf):
 
     lines = readers.lines(table(spark, sf, "documents"), "doc_id")
     return assembly.pattern_scan(lines, spark.createDataFrame(_PATTERNS, "category string, pattern string")).select("doc_id", "line_no", "category")
+
+
+_TRACE = "t as (select l_orderkey as mention_id, l_returnflag as branch, l_suppkey as candidate_id, l_linenumber as rank, l_linestatus as state, s_name as name, cast(s_nationkey as varchar) as kind from lineitem join supplier on l_suppkey = s_suppkey)"
+
+
+def _supplier_trace(spark, sf):
+    t = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return t.select(F.col("l_orderkey").alias("mention_id"), F.col("l_returnflag").alias("branch"), F.col("l_suppkey").alias("candidate_id"), F.col("l_linenumber").alias("rank"), F.col("l_linestatus").alias("state"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("kind"))
+
+
+@query(f"with {_TRACE} select mention_id, candidate_id, arg_min(name, rank) as name, arg_min(kind, rank) as kind, string_agg(distinct branch, '|' order by branch) as branches, count(distinct branch) as branch_count, string_agg(distinct state, '|' order by state) as states from t group by 1, 2")
+def described_union(spark, sf):
+    from ..operators import fusion
+
+    return fusion.described_union(_supplier_trace(spark, sf))
+
+
+@query(
+    f"""with {_TRACE}, u as (select distinct mention_id, candidate_id, branch from t), b as (select distinct branch from t), m as (select distinct mention_id from t),
+    c as (select x.mention_id, x.branch as a, y.branch as b, count(*) as n from u x join u y on x.mention_id = y.mention_id and x.candidate_id = y.candidate_id and x.branch < y.branch group by 1, 2, 3)
+    select x.branch as a, y.branch as b, median(coalesce(n, 0)) as median_common from m, b x join b y on x.branch < y.branch left join c on c.mention_id = m.mention_id and c.a = x.branch and c.b = y.branch group by 1, 2"""
+)
+def median_overlap(spark, sf):
+    from ..operators import fusion
+
+    return fusion.median_overlap(_supplier_trace(spark, sf))
+
+
+@query("select page_id, position, case when regexp_matches(target, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then target else regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || target end as target from (select page_id, url, cast(position as bigint) as position, regexp_extract(a, 'href=\"([^\"]*)\"', 1) as target from (select page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"[^\"]*\"[^>]*>[^<]*</a>')) as a, generate_subscripts(regexp_extract_all(html, '<a\\s[^>]*href=\"[^\"]*\"[^>]*>[^<]*</a>'), 1) as position from pages))")
+def absolute_links(spark, sf):
+    from ..sources import readers
+
+    pages = table(spark, sf, "pages")
+    return readers.links(pages, "page_id").join(pages.select("page_id", "url"), "page_id").select("page_id", "position", readers.absolute(F.col("url"), F.col("target")).alias("target"))
+
+
+@query(
+    """with n as (select min(p_partkey) as id, lower(p_name) as t from part group by p_name), p as (select a.id as mention_id, b.id as candidate_id, a.t = b.t as same, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))::double, 9) as score from n a, n b where list_has_any(string_split(a.t, ' '), string_split(b.t, ' '))),
+    r as (select *, row_number() over (partition by mention_id order by score desc, candidate_id) as rank from p where score >= 0.4)
+    select mention_id, candidate_id, case when same or score >= 0.9 or rank <= 3 then 'MATCH' else 'NOT_COMPARABLE' end as lexical_status from r where rank <= 75"""
+)
+def lexical_evidence(spark, sf):
+    names = table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
+    m, c = names.select(F.col("id").alias("mention_id"), F.col("p_name").alias("text")), names.select(F.col("id").alias("candidate_id"), F.col("p_name").alias("name"))
+    score = F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")), 9)
+    rows = retrieval.blocked_fuzzy(m, c, score, 0.4, ascii_only=True).join(m, "mention_id").join(c, "candidate_id")
+    return rows.select("mention_id", "candidate_id", decision.lexical_status(F.col("text"), F.col("name"), F.col("score"), F.col("rank")).alias("lexical_status"))

@@ -37,11 +37,28 @@ def lines(df: DataFrame, key: str, text: str = "text", matching: str | None = No
 
 
 def links(df: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """Links of pages in order: position (from 1), target, and text without markup."""
-    anchors = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>.*?</a>"), F.lit(0))
+    """Links of pages in order: position (from 1), target (quoted either way, or not at all), and text without markup."""
+    anchors = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*href\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)[^>]*>.*?</a>"), F.lit(0))
     rows = df.select(key, F.posexplode(anchors))
     label = F.trim(F.regexp_replace(F.regexp_extract("col", r"(?is)^<a\s[^>]*>(.*)</a>$", 1), r"<[^>]*>", ""))
-    return rows.select(key, (F.col("pos") + 1).cast("long").alias("position"), F.regexp_extract("col", r"(?i)href=\"([^\"]*)\"", 1).alias("target"), label.alias("label"))
+    target = F.coalesce(*(F.nullif(F.regexp_extract("col", p, 1), F.lit("")) for p in (r"(?i)href\s*=\s*\"([^\"]*)\"", r"(?i)href\s*=\s*'([^']*)'", r"(?i)href\s*=\s*([^\s>\"']+)")), F.lit(""))
+    return rows.select(key, (F.col("pos") + 1).cast("long").alias("position"), target.alias("target"), label.alias("label"))
+
+
+def absolute(base: Column, target: Column) -> Column:
+    """A link's target as a whole URL, from the URL of its page; targets with a scheme stay."""
+    scheme, origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.when(F.regexp_extract(page, r"://[^/]*(/)", 1) == "", F.concat(page, F.lit("/"))).otherwise(F.regexp_extract(page, r"^(.*/)", 1))
+    return (
+        F.when(target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/"), F.concat(origin, target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), target))
+        .when(target.startswith("?"), F.concat(page, target))
+        .when(target == "", F.regexp_extract(base, r"^([^#]*)", 1))
+        .otherwise(F.concat(folder, target))
+    )
 
 
 def table_rows(df: DataFrame, key: str, html: str = "html", least: int = 1) -> DataFrame:

@@ -182,3 +182,22 @@ def test_vectors(spark):
     vectors = spark.createDataFrame([(1, [3.0, 4.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0])], "candidate_id long, vector array<float>")
     got = retrieval.dense(vectors.where("candidate_id = 1").withColumnRenamed("candidate_id", "mention_id"), vectors, 3, cosine=True).collect()
     assert [(r["candidate_id"], round(r["score"], 6)) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1.0), (2, 0.6), (3, 0.0)]
+
+
+def test_links_and_cells(spark):
+    from quillspark.sources import readers
+
+    pages = spark.createDataFrame([(1, "http://h.org/a/b.html?q#f", """<a href='c'>x</a><A class=k HREF=/d>y</A><a href="//o.org/e">z</a><a href="mailto:m">w</a><a href="?p=2">v</a><a href="#t"><b>u</b></a>"""), (2, "http://h.org", '<a href="c">x</a>')], "id long, url string, html string")
+    rows = readers.links(pages, "id").join(pages.select("id", "url"), "id").select("id", "position", readers.absolute(F.col("url"), F.col("target")).alias("t"), "label")
+    assert [(r["t"], r["label"]) for r in sorted(rows.collect())] == [("http://h.org/a/c", "x"), ("http://h.org/d", "y"), ("http://o.org/e", "z"), ("mailto:m", "w"), ("http://h.org/a/b.html?p=2", "v"), ("http://h.org/a/b.html?q#t", "u"), ("http://h.org/c", "x")]
+    trace = spark.createDataFrame([(1, "B", 5, 2, 1.0, "x", "e2|e1", 3.0), (1, "B", 5, 1, 0.5, "y", "e1||e3", 9.0)], "mention_id long, branch string, candidate_id long, rank int, score double, alias string, evidence string, latency double")
+    row = fusion.collapse(trace, cells=("evidence",)).first()
+    assert (row["rank"], row["score"], row["aliases"], row["hits"], row["evidence"]) == (1, 0.5, "x || y", 2, "e1|e2|e3")
+    fused = fusion.reciprocal_rank(trace.limit(1)).first()
+    assert fused["components"] == {"B": 1 / 62} and fused["rrf"] == 1 / 62
+    calls = spark.createDataFrame([(1, "B", 1, "SUCCESS", 3, 5.0), (1, "B", 2, "FAILED", 0, 1.0), (2, "B", 1, "EMPTY", 0, 7.0)], "mention_id long, branch string, seq int, status string, candidates int, latency double")
+    row = fusion.branch_status(calls).first()
+    assert (row["success"], row["empty"], row["median_candidates"], row["median_latency"]) == (1, 1, 3.0, 6.0)
+    names = spark.createDataFrame([("Kumar Nagar", "", 80.0), ("X", "Y", 0.0), ("X", None, 10.0)], "f string, t string, s double")
+    got = names.select(decision.name_hallucinated(F.col("f"), F.col("t")).alias("h"), decision.name_rationale(F.col("s")).alias("r")).collect()
+    assert [r["h"] for r in got] == [True, False, True] and got[0]["r"] != got[2]["r"]
