@@ -30,6 +30,9 @@ FORM_SYNONYMS = {
 }
 RELEASE_MODIFIERS = {"sr": "SR", "cr": "CR", "er": "ER", "xr": "ER", "mr": "MR", "ec": "EC", "dr": "DR", "dsr": "DSR", "od": "OD"}
 UNIT_TOKEN = r"^\d+(\.\d+)?(%|mg|mcg|g|ml|iu|kg|l)"
+# Strengths and forms of listed medicines.
+LISTED_STRENGTH = r"(?i)(\b\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml|IU|%)(?:/\d+(?:\.\d+)?\s*(?:ml|g))?\b)"
+LISTED_FORMS = ["tablet", "capsule", "injection", "solution", "suspension", "cream", "ointment", "drops", "powder", "syrup", "inhalation", "oral"]
 STRENGTH = r"(\d+(?:\.\d+)?)\s*(mg|mcg|g|ml|iu|units?|%)\b"
 
 
@@ -47,6 +50,12 @@ def brand_family(name: Column, ascii_only: bool = False) -> Column:
     return F.when(family == "", text).otherwise(family)
 
 
+def brand_family_display(name: Column, ascii_only: bool = False) -> Column:
+    """As many words of the name, as it is written, as its family has; the whole name where the family is all of it."""
+    raw, family = display_text(name, ascii_only), brand_family(name, ascii_only)
+    return F.when(family == normalize_text(name, ascii_only), raw).otherwise(F.array_join(F.slice(F.split(raw, " "), F.lit(1), F.size(F.split(family, " "))), " "))
+
+
 def infer_form(name: Column, pack: Column, ascii_only: bool = False) -> Column:
     """The alphabetically first form word of name and pack; empty if there is none."""
     text = F.concat_ws(" ", normalize_text(name, ascii_only), normalize_text(pack, ascii_only))
@@ -102,6 +111,16 @@ def all_strengths(value: Column, ascii_only: bool = False) -> Column:
     return F.array_join(F.regexp_extract_all(normalize_text(value, ascii_only), F.lit(f"({STRENGTH})"), F.lit(1)), " | ")
 
 
+def listed_strengths(text: Column) -> Column:
+    """All strengths as they are written, joined by bars."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(LISTED_STRENGTH), F.lit(1)), " | ")
+
+
+def listed_forms(text: Column) -> Column:
+    """All forms that occur, in the order of LISTED_FORMS, joined by bars."""
+    return F.array_join(F.array_compact(F.array(*(F.when(text.rlike(rf"(?i)\b{f}s?\b"), f) for f in LISTED_FORMS))), " | ")
+
+
 def observed_formulation(raw: Column, strength_text: Column, dosage_text: Column, ascii_only: bool = False) -> Column:
     """What a mention shows: strength, form, release modifier, and whether (and how many) components are listed."""
     text = normalize_text(raw, ascii_only)

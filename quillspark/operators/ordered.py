@@ -118,3 +118,20 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, lo: str, hi: str
 def first_rows(df: DataFrame, ordinal: str, n: int) -> DataFrame:
     """The first n rows in the order in which they came, which a column must tell."""
     return df.orderBy(ordinal).limit(n)
+
+
+#: What begins a numbered record, and lines that belong to none. Fixed values.
+NUMBERED, NOTES = r"^(\d+)\.?\s+(.*)$", r"(?i)^(note|with the office|notice of|paracetamol)"
+
+
+def numbered_records(lines: DataFrame, key: str, order: str) -> DataFrame:
+    """Records of lines (key, order, line): each begins with its number and goes on to the next; notes and blank lines are
+    left out, and so is what stands before the first number. Returns key, record, number, text."""
+    line = F.trim(F.regexp_replace("line", r"\s+", " "))
+    begins = F.col("line").rlike(NUMBERED)
+    number = F.sum(begins.cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = lines.withColumn("line", line).where("line <> ''").withColumn("record", number).where((F.col("record") > 0) & (begins | ~F.col("line").rlike(NOTES)))
+    value = F.struct(order, F.when(begins, F.regexp_extract("line", NUMBERED, 2)).otherwise(F.col("line")).alias("line"))
+    parts = F.array_sort(F.collect_list(value))
+    out = rows.groupBy(key, "record").agg(F.max(F.when(begins, F.regexp_extract("line", NUMBERED, 1))).alias("number"), F.trim(F.array_join(F.transform(parts, lambda p: p["line"]), " ")).alias("text"))
+    return out.where("text <> ''")

@@ -201,3 +201,15 @@ def test_links_and_cells(spark):
     names = spark.createDataFrame([("Kumar Nagar", "", 80.0), ("X", "Y", 0.0), ("X", None, 10.0)], "f string, t string, s double")
     got = names.select(decision.name_hallucinated(F.col("f"), F.col("t")).alias("h"), decision.name_rationale(F.col("s")).alias("r")).collect()
     assert [r["h"] for r in got] == [True, False, True] and got[0]["r"] != got[2]["r"]
+
+
+def test_families_strengths_and_numbered_records(spark):
+    from quillspark.functions import parsing
+    from quillspark.operators import ordered
+
+    names = spark.createDataFrame([("Dolo 650 Tab",), ("Crocin  Advance Tablet",), ("tablet",), ("Zed",)], "n string")
+    assert [tuple(r) for r in names.select(parsing.brand_family_display(F.col("n"), True), parsing.brand_family(F.col("n"), True)).collect()] == [("Dolo", "dolo"), ("Crocin Advance", "crocin advance"), ("tablet", "tablet"), ("Zed", "zed")]
+    text = spark.createDataFrame([("Tablets 500 mg and 125 mg/5 ml oral SOLUTION 2%",)], "t string")
+    assert tuple(text.select(parsing.listed_strengths(F.col("t")), parsing.listed_forms(F.col("t"))).first()) == ("500 mg | 125 mg/5 ml", "tablet | solution | oral")
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(["head", "1. Amox  500", "mg caps", "", "Note: skip", "2 Paracet", "paracetamol line", "3. ", "12/3 no number"])], "doc long, n int, line string")
+    assert [(r["number"], r["text"]) for r in ordered.numbered_records(lines, "doc", "n").orderBy("record").collect()] == [("1", "Amox 500 mg caps"), ("2", "Paracet 3. 12/3 no number")]
