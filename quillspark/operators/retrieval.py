@@ -14,14 +14,30 @@ from ..tables import is_small, small_side, written
 BLOCK, QUERY_BLOCK = 4096, 1024
 
 
-def ranked(hits: DataFrame, branch: str, limit: int | None) -> DataFrame:
-    """The best hits of each mention by rounded score, ties to the smaller candidate_id; all of them without a limit.
+def ranked(hits: DataFrame, branch: str, limit: int) -> DataFrame:
+    """The best hits of each mention by rounded score, ties to the smaller candidate_id.
 
     Limits run before and after the shuffle (window group limit), so a popular mention sends limit rows a task.
     """
     order = Window.partitionBy("mention_id").orderBy(F.desc(F.round("score", 9)), "candidate_id")
-    rows = hits.withColumn("rank", F.row_number().over(order))
-    return (rows if limit is None else rows.where(F.col("rank") <= limit)).select("mention_id", F.lit(branch).alias("branch"), "candidate_id", "score", "rank")
+    rows = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return rows.select("mention_id", F.lit(branch).alias("branch"), "candidate_id", "score", "rank")
+
+
+def ranked_all(hits: DataFrame, branch: str) -> DataFrame:
+    """All hits of each mention with their ranks, in the order of ranked.
+
+    Hits are dealt by ranges of mention and place, so that a popular mention lies in several; each range is numbered on
+    its own and shifted by what the mention has in those before.
+    """
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(hits.withColumn("place", -F.round("score", 9)), "hits")
+    rows = written(rows.repartitionByRange(parts, "mention_id", "place", "candidate_id").withColumn("range", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy("mention_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("mention_id", "range", (F.sum("n").over(Window.partitionBy("mention_id").orderBy("range")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("mention_id", "range").orderBy("place", "candidate_id"))
+    out = rows.withColumn("nth", inside).join(before, ["mention_id", "range"])
+    return out.select("mention_id", F.lit(branch).alias("branch"), "candidate_id", "score", (F.col("before") + F.col("nth")).cast("int").alias("rank"))
 
 
 def exact(mentions: DataFrame, catalog: DataFrame, limit: int = 75, ascii_only: bool = False) -> DataFrame:
@@ -121,7 +137,7 @@ def contained(mentions: DataFrame, catalog: DataFrame, ascii_only: bool = False)
     as_small = lambda df, key: df.select(F.col(key).alias("small_id"), F.col("t").alias("small"))
     inside = _holds(as_big(names, "candidate_id"), as_small(asked, "mention_id")).select(F.col("small_id").alias("mention_id"), F.col("big_id").alias("candidate_id"))
     around = _holds(as_big(asked, "mention_id"), as_small(names, "candidate_id")).select(F.col("big_id").alias("mention_id"), F.col("small_id").alias("candidate_id"))
-    return ranked(inside.union(around).distinct().withColumn("score", F.lit(1.0)), "contained", None)
+    return ranked_all(inside.union(around).distinct().withColumn("score", F.lit(1.0)), "contained")
 
 
 def corpus_statistics(terms: DataFrame) -> DataFrame:
@@ -220,4 +236,4 @@ def per_distinct_text(mentions: DataFrame, branch) -> DataFrame:
     return mentions.join(of, mentions["text"].eqNullSafe(of["one"])).select("mention_id", "text_id").join(trace, "text_id").drop("text_id")
 
 
-__all__ = ["blocked_fuzzy", "bm25", "contained", "corpus_statistics", "crosswalk", "dense", "exact", "fuzzy_scan", "index", "normalized", "per_distinct_text", "ranked", "similarity"]
+__all__ = ["blocked_fuzzy", "bm25", "contained", "corpus_statistics", "crosswalk", "dense", "exact", "fuzzy_scan", "index", "normalized", "per_distinct_text", "ranked", "ranked_all", "similarity"]

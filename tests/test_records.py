@@ -88,6 +88,16 @@ def test_containment_against_all_pairs(spark, monkeypatch, small):
     assert retrieval.contained(m.limit(0), c, ascii_only=True).count() == 0 and retrieval.contained(m, c.limit(0), ascii_only=True).count() == 0
 
 
+def test_ranks_of_all_hits(spark):
+    """A popular mention over many ranges: the same order as one window gives."""
+    rows = [(1, i * 7 % 500, float(i % 3)) for i in range(500)] + [(2, i, 1.0) for i in range(20)] + [(3, 5, 0.5)]
+    hits = spark.createDataFrame(rows, "mention_id long, candidate_id long, score double")
+    key = lambda df: sorted((r["mention_id"], r["rank"], r["candidate_id"], r["score"]) for r in df.collect())
+    got = key(retrieval.ranked_all(hits, "x"))
+    assert got == key(retrieval.ranked(hits, "x", 1000)) and [r[1] for r in got if r[0] == 1] == list(range(1, 501))
+    assert retrieval.ranked_all(hits.limit(0), "x").count() == 0
+
+
 def test_index_serves_until_the_catalog_changes(spark, tmp_path):
     c = spark.createDataFrame([(1, "red iron rod"), (2, "red box"), (3, "blue box box")], "candidate_id long, name string")
     m = spark.createDataFrame([(7, "red box"), (8, "box blue")], "mention_id long, text string")
