@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 SMALL_ROWS, SMALL_BYTES = 300_000, 32 << 20
 
 
+_made: dict[str, list[str]] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
@@ -31,10 +34,23 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: computed once, and no executor's loss undoes it."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/written-{uuid.uuid4().hex}/{name}"
+    top = f"{work_dir(spark)}/written-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(top)
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    df.write.parquet(f"{top}/{name}")
+    return spark.read.schema(schema).parquet(f"{top}/{name}")
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables that this session has written so far, and says how many: for jobs whose results are stored.
+
+    Results that aren't stored yet may still read them.
+    """
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for top in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
 
 
 def small_side(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:

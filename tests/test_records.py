@@ -223,3 +223,15 @@ def test_families_strengths_and_numbered_records(spark):
     assert tuple(text.select(parsing.listed_strengths(F.col("t")), parsing.listed_forms(F.col("t"))).first()) == ("500 mg | 125 mg/5 ml", "tablet | solution | oral")
     lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(["head", "1. Amox  500", "mg caps", "", "Note: skip", "2 Paracet", "paracetamol line", "3. ", "12/3 no number"])], "doc long, n int, line string")
     assert [(r["number"], r["text"]) for r in ordered.numbered_records(lines, "doc", "n").orderBy("record").collect()] == [("1", "Amox 500 mg caps"), ("2", "Paracet 3. 12/3 no number")]
+
+
+def test_written_tables_go_when_a_job_is_done(spark):
+    """And a broadcast is checked by rows and by bytes."""
+    import os
+
+    from quillspark import tables
+
+    df = tables.written(spark.createDataFrame([(i, "x" * 100) for i in range(50)], "id long, t string"), "some")
+    path = df.inputFiles()[0].removeprefix("file:")
+    assert tables.is_small(df, 50) and not tables.is_small(df, 49) and not tables.is_small(df, 50, 1000) and df.count() == 50
+    assert tables.clear(spark) >= 1 and not os.path.exists(path) and tables.clear(spark) == 0
