@@ -222,3 +222,15 @@ def supported_families(products: DataFrame, validated: DataFrame, families: Data
 def family_of(entity_type: Column, entity_id: Column, family: Column) -> Column:
     """The family that a candidate stands for: itself, or the one that its facts name."""
     return F.when(entity_type == "BRAND_FAMILY", entity_id).otherwise(F.coalesce(family, F.lit("")))
+
+
+def facts_for(candidates: DataFrame, sources: dict[str, tuple[DataFrame, str, dict[str, str]]], columns: list[str]) -> DataFrame:
+    """candidates (entity_type, entity_id text, ...) with facts from the source of their type: its frame, its key, and the
+    column that each fact has there. Facts that a type doesn't have are null, and so are all of an unknown type."""
+    out, found = candidates, {c: [] for c in columns}
+    for i, (kind, (df, key, named)) in enumerate(sources.items()):
+        side = df.select(F.col(key).cast("string").alias(f"_key{i}"), F.lit(kind).alias(f"_kind{i}"), *(F.col(v).cast("string").alias(f"_{c}{i}") for c, v in named.items()))
+        out = out.join(side, (F.col("entity_type") == F.col(f"_kind{i}")) & (F.col("entity_id") == F.col(f"_key{i}")), "left")
+        for c in named:
+            found[c].append(F.col(f"_{c}{i}"))
+    return out.select(*candidates.columns, *((F.coalesce(*cs) if cs else F.lit(None).cast("string")).alias(c) for c, cs in found.items()))

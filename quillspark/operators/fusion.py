@@ -130,3 +130,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -
 def union_size(trace: DataFrame) -> DataFrame:
     """The median number of distinct candidates that mentions have, as one row."""
     return trace.groupBy("mention_id").agg(F.count_distinct("candidate_id").alias("n")).agg(F.median("n").alias("median_candidates"))
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner", one_left: bool = True, one_right: bool = True) -> DataFrame:
+    """A join whose sides must have a key once where it is said so; else it is refused, with a key that repeats."""
+    for name, df, once in (("left", left, one_left), ("right", right, one_right)):
+        again = df.groupBy(key).count().where("count > 1").limit(1).collect() if once else []
+        if again:
+            raise ValueError(f"{key} {again[0][0]!r} repeats on the {name} side")
+    return left.join(right, key, how)

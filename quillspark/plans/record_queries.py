@@ -262,3 +262,16 @@ def lexical_evidence(spark, sf):
     score = F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")), 9)
     rows = retrieval.blocked_fuzzy(m, c, score, 0.4, ascii_only=True).join(m, "mention_id").join(c, "candidate_id")
     return rows.select("mention_id", "candidate_id", decision.lexical_status(F.col("text"), F.col("name"), F.col("score"), F.col("rank")).alias("lexical_status"))
+
+
+@query(
+    """with c as (select l_orderkey, l_linenumber, case l_linenumber % 4 when 0 then 'PRODUCT' when 1 then 'SUPPLIER' when 2 then 'ORDER' else 'OTHER' end as entity_type, cast(case l_linenumber % 4 when 0 then l_partkey when 1 then l_suppkey else l_orderkey end as varchar) as entity_id from lineitem)
+    select l_orderkey, l_linenumber, entity_type, entity_id, case entity_type when 'PRODUCT' then p_name when 'SUPPLIER' then s_name end as name, case entity_type when 'PRODUCT' then p_brand when 'SUPPLIER' then cast(s_nationkey as varchar) when 'ORDER' then o_orderpriority end as family
+    from c left join part on entity_type = 'PRODUCT' and entity_id = cast(p_partkey as varchar) left join supplier on entity_type = 'SUPPLIER' and entity_id = cast(s_suppkey as varchar) left join orders on entity_type = 'ORDER' and entity_id = cast(o_orderkey as varchar)"""
+)
+def facts_by_type(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ["PRODUCT", "SUPPLIER", "ORDER", "OTHER"])), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    key = F.when(kind == "PRODUCT", F.col("l_partkey")).when(kind == "SUPPLIER", F.col("l_suppkey")).otherwise(F.col("l_orderkey")).cast("string")
+    t = lambda n: table(spark, sf, n)
+    sources = {"PRODUCT": (t("part"), "p_partkey", {"name": "p_name", "family": "p_brand"}), "SUPPLIER": (t("supplier"), "s_suppkey", {"name": "s_name", "family": "s_nationkey"}), "ORDER": (t("orders"), "o_orderkey", {"family": "o_orderpriority"})}
+    return decision.facts_for(t("lineitem").select("l_orderkey", "l_linenumber", kind.alias("entity_type"), key.alias("entity_id")), sources, ["name", "family"])

@@ -235,3 +235,10 @@ def test_written_tables_go_when_a_job_is_done(spark):
     path = df.inputFiles()[0].removeprefix("file:")
     assert tables.is_small(df, 50) and not tables.is_small(df, 49) and not tables.is_small(df, 50, 1000) and df.count() == 50
     assert tables.clear(spark) >= 1 and not os.path.exists(path) and tables.clear(spark) == 0
+
+
+def test_joins_of_stated_cardinality(spark):
+    one, two = spark.createDataFrame([(1, "a")], "id long, x string"), spark.createDataFrame([(1, "b"), (1, "c")], "id long, y string")
+    assert fusion.joined(one, two, "id", one_right=False).count() == 2
+    with pytest.raises(ValueError, match="right"):
+        fusion.joined(one, two, "id")
