@@ -73,6 +73,11 @@ _OTHER_SPACE = r"\x{9}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x
 _LOOSE = f"[ {_OTHER_SPACE}]{{2,}}|[{_OTHER_SPACE}]"
 
 
+#: What normalized text leaves out: everything but letters, digits, space and % . / + -, and what separates its tokens.
+#: Both are stated as ranges, which Java matches much faster than a negated class.
+_LEFT_OUT, _BETWEEN = r"[\x{0}-\x{1f}!-$&-*,:-`{-\x{10ffff}]+", "[ %+./-]+"
+
+
 def _composed(text: Column, form: str, ascii_only: bool) -> Column:
     """text in a normal form; ASCII is its own. ascii_only promises ASCII and keeps Python out of the plan."""
     if ascii_only:
@@ -97,7 +102,7 @@ def _present(value: Column) -> Column:
 def normalize_text(value: Column, ascii_only: bool = False) -> Column:
     """Lower case; letters, digits and % . / + space - only; single spaces. Null and "nan" are empty."""
     text = F.lower(collapse(_composed(_present(value), "NFKC", ascii_only)))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9%./+ -]+", ""), " {2,}", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, _LEFT_OUT, ""), " {2,}", " "))
 
 
 def display_text(value: Column, ascii_only: bool = False) -> Column:
@@ -112,7 +117,11 @@ def lexical_surface(value: Column, ascii_only: bool = False) -> Column:
 
 def tokens(value: Column, ascii_only: bool = False) -> Column:
     """Tokens of two or more characters of the normalized text; order and repeats stay."""
-    return F.filter(F.split(normalize_text(value, ascii_only), "[^a-z0-9]+"), lambda t: F.length(t) > 1)
+    return split_tokens(normalize_text(value, ascii_only))
+
+
+def split_tokens(normalized: Column) -> Column:
+    return F.filter(F.split(normalized, _BETWEEN), lambda t: F.length(t) > 1)
 
 
 def query_surface(value: Column, ascii_only: bool = False) -> Column:

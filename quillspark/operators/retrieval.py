@@ -154,7 +154,7 @@ def bm25(mentions: DataFrame, catalog: DataFrame, limit: int = 25, k1: float = 1
     length, term and its count) are written, dealt by document, so that a document's weights are summed where they are
     read. Corpus size and mean length are one row. indexed: what index returned for the catalog, which isn't read then.
     """
-    words = F.filter(F.split("t", "[^a-z0-9]+"), lambda w: F.length(w) > 1)
+    words = text.split_tokens(F.col("t"))
     asked = written(normalized(mentions, "mention_id", "text", ascii_only).select("mention_id", F.explode(words).alias("term")).groupBy("mention_id", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
     terms = written(asked.select("term").distinct(), "terms")
     if indexed:
