@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,17 @@ def strings(spark: SparkSession, path: str, columns: list[str] | None = None) ->
     return (df.select(*columns) if columns else df).na.fill("")
 
 
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """A Parquet table as read, with a column that grows in the order of its rows: files by path, then places in them."""
+    place = F.col("_metadata.row_index")
+    if len(df.inputFiles()) < 2:
+        return df.withColumn(name, place)
+    path = F.col("_metadata.file_path").alias("_path")
+    files = df.select(path).distinct().select("_path", F.row_number().over(Window.orderBy("_path")).cast("long").alias("_file"))
+    rows = df.select("*", path, place.alias("_place")).join(F.broadcast(files), "_path")
+    return rows.select(*df.columns, (F.shiftleft("_file", 40) + F.col("_place")).alias(name))
+
+
 def json_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """JSON documents, one in a file or an array of them; broken ones keep their text in _corrupt_record."""
     reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")

@@ -114,3 +114,32 @@ def test_containment_keeps_every_pair(spark, small):
     assert sorted(tuple(x) for x in QUERIES["containment_join"](spark, sf).collect()) == [(0, i, i + 1) for i in range(100)]
     assert {x["candidate_id"] for x in QUERIES["candidate_union"](spark, sf).collect()} == set(range(100))
     assert QUERIES["rrf_topk"](spark, sf).count() == 20
+
+
+@pytest.fixture(scope="module")
+def tied(small):
+    """Lines of one order and number in several files, with part names that grow as the lines go back; null names, null and blank brands."""
+    places = [7, 9, 2, 8, 0, 5, 3, 6, 1, 4]
+    brands = ["Brand#1", "Brand#2", "", None, "Brand#1", "Brand#2", "", None, "Brand#1", "Brand#2"]
+    parts = [(p, None if p == 9 else f"name {9 - places.index(p)}", brands[p], f"type {9 - places.index(p) // 2}", p % 2) for p in range(10)]
+    lines = [(0, p, p % 3, 1) for p in places * 3] + [(0, 4, 0, 2), (None, 9, 0, 1), (1, 1, 1, 1)]
+    suppliers = [(k, f"supplier {9 - k}", k % 2) for k in range(3)]
+    return small(
+        lineitem=(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+        part=(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"),
+        supplier=(suppliers, "s_suppkey long, s_name string, s_nationkey int"),
+    )
+
+
+def in_turn(sf, sql):
+    """The SQL's rows where one thread reads the tables from their first row to their last."""
+    con = duckdb.connect(config={"threads": 1})
+    for t in ("lineitem", "part", "supplier"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet/*.parquet')")
+    return con.execute(sql).fetchdf()
+
+
+def test_star_dimension_takes_the_first_of_tied_lines(spark, tied):
+    got = QUERIES["star_dimension"](spark, tied)
+    assert {r["id"]: r["p_name"] for r in got.collect()} == {None: "name 9", "": "name 7", "Brand#1": "name 6", "Brand#2": "name 4"}
+    assert rows(got.toPandas()) == rows(in_turn(tied, ORACLE_SQL["star_dimension"]))
