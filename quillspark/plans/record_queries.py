@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import assembly, decision, evaluation, records, retrieval
+from .assembly_queries import _wide
 from .decision_queries import _ROWS, _evidence
 from .registry import query, table
 
@@ -145,9 +146,8 @@ def fuzzy_scan(spark, sf):
     select 'nation', cast(s_nationkey as varchar), cast(arg_min(s_name, k) as varchar) from w group by 2 union all select 'product', cast(l_partkey as varchar), cast(arg_min(p_name, k) as varchar) from w group by 2 union all select 'fact', 'rows', cast(count(*) as varchar) from w""".replace("from w", "from (select *, l_orderkey * 10 + l_linenumber as k from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey) w")
 )
 def star_tables(spark, sf):
-    line = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     dims = {"brand": ("p_brand", "p_name"), "type": ("p_type", "p_brand"), "size": ("p_size", "p_type"), "supplier": ("l_suppkey", "s_name"), "nation": ("s_nationkey", "s_name"), "product": ("l_partkey", "p_name")}
-    made = assembly.star(line, "k", {n: (F.col(k), [v]) for n, (k, v) in dims.items()})
+    made = assembly.star(_wide(spark, sf), ["seq", "row"], {n: (F.col(k), [v]) for n, (k, v) in dims.items()}, each=True)
     out = made["fact"].agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("fact").alias("dimension"), F.lit("rows").alias("id"), "value")
     for n, (_, v) in dims.items():
         out = out.union(made[n].select(F.lit(n), F.col("id").cast("string"), F.col(v).cast("string")))

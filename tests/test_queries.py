@@ -143,3 +143,13 @@ def test_star_dimension_takes_the_first_of_tied_lines(spark, tied):
     got = QUERIES["star_dimension"](spark, tied)
     assert {r["id"]: r["p_name"] for r in got.collect()} == {None: "name 9", "": "name 7", "Brand#1": "name 6", "Brand#2": "name 4"}
     assert rows(got.toPandas()) == rows(in_turn(tied, ORACLE_SQL["star_dimension"]))
+
+
+def test_star_tables_take_the_first_of_tied_lines(spark, tied):
+    got = QUERIES["star_tables"](spark, tied)
+    first = {(r["dimension"], r["id"]): r["value"] for r in got.collect()}
+    assert {k: v for k, v in first.items() if k[0] in ("brand", "size", "nation")} == {
+        ("brand", None): "name 9", ("brand", ""): "name 7", ("brand", "Brand#1"): "name 6", ("brand", "Brand#2"): "name 4",
+        ("size", "0"): "type 8", ("size", "1"): "type 9", ("nation", "0"): "supplier 9", ("nation", "1"): "supplier 8",
+    }
+    assert rows(got.toPandas()) == rows(in_turn(tied, ORACLE_SQL["star_tables"]))
